@@ -94,6 +94,8 @@ class PieceModel:
     def check(self, chunks: list[str], ids: list[list[int]]) -> None:
         """Raises if the library encodes a chunk differently."""
         theirs = self.library.encode([c[1:] for c in chunks], num_threads=1)
+        # the library puts the first mark before any text but the empty one
+        theirs = [x if c != MARK else [self.library.piece_to_id(MARK)] for c, x in zip(chunks, theirs, strict=True)]
         for c, a, b in zip(chunks, ids, theirs, strict=True):
             if a != b:
                 raise AssertionError(f"the agenda gives {a} for {c!r}, the library {b}")

@@ -1,9 +1,10 @@
 """Toxicity: misspelled lexicon terms in their context.
 
 Levenshtein automata of a text's words are intersected with a trie of lexicon
-terms.  A window of words around each hit tells quotation from abuse; the
-summed evidence of a text goes through a logistic model.  Lexicon and weights
-are learned from a bounded sample of labelled rows.
+terms.  A term is a word, or a stem that inflected forms begin with.  A window
+of words around each hit tells quotation from abuse; the summed evidence of a
+text goes through a logistic model.  Lexicon and weights are learned from a
+bounded sample of labelled rows.
 """
 
 from __future__ import annotations
@@ -23,10 +24,14 @@ from relflow.llm.samples import PER_LABEL, held_out, training_texts
 
 #: Words on either side of a hit that are its context.
 WINDOW = 8
-#: Terms of the learned lexicon at most, the least share of label 1 among texts that hold one, and the least such texts.
-TERMS, PRECISION, MIN_TEXTS = 200, 0.9, 4
-#: Part of the marked texts that a term must add, or part of the commonest term's texts that it must hold.
-GAIN, ALIKE = 0.05, 0.4
+#: Terms of the learned lexicon at most, and the least texts of label 1 that hold one.
+TERMS, MIN_TEXTS = 200, 4
+#: A term's share of texts with label 1, both labels weighed alike, must reach this.
+PRECISION = 0.9
+#: Part of the texts with label 1 that a term must add, or part of the commonest word's texts that a word must hold.
+GAIN, ALIKE = 0.015, 0.4
+#: Letters of a stem; a text must hold two words of a stem to count for it.
+STEM, STEM_TWICE = range(3, 11), 2
 #: A term is searched with one edit from this length on, with two from the other.
 ONE_EDIT, TWO_EDITS = 5, 10
 
@@ -91,27 +96,34 @@ def intersect(trie: Trie, automaton: LevenshteinAutomaton) -> Iterator[tuple[int
 
 
 class Lexicon:
-    """The best term for a word, if any.
+    """The best term for a word, if any; stems are written with a star.
 
-    Before its automaton runs, a word must share a piece with a term: of e + 1
+    ``harmless`` words are never taken as misspellings.  Before its automaton runs, a word must share a piece with a term: of e + 1
     pieces of a term one survives e edits, moved by e places at most.
     """
 
-    def __init__(self, terms: list[str]):
-        self.exact = {t: i for i, t in enumerate(terms)}
-        self.trie = Trie(terms)
-        pieces = {t[k * len(t) // (e + 1) : (k + 1) * len(t) // (e + 1)] for t in terms if (e := edits_for(t)) for k in range(e + 1)}
+    def __init__(self, terms: list[str], harmless: frozenset[str] = frozenset()):
+        self.terms, self.harmless = terms, harmless
+        self.exact = {t: i for i, t in enumerate(terms) if not t.endswith("*")}
+        self.stems = {t[:-1]: i for i, t in enumerate(terms) if t.endswith("*")}
+        self.stem_sizes = sorted({len(t) for t in self.stems}, reverse=True)
+        words = list(self.exact)
+        self.trie = Trie(words)
+        pieces = {t[k * len(t) // (e + 1) : (k + 1) * len(t) // (e + 1)] for t in words if (e := edits_for(t)) for k in range(e + 1)}
         self.hint = re.compile("|".join(sorted(map(re.escape, pieces)))) if pieces else None
-        self.lengths = {n for t in terms for n in range(len(t) - edits_for(t), len(t) + edits_for(t) + 1)}
+        self.lengths = {n for t in words for n in range(len(t) - edits_for(t), len(t) + edits_for(t) + 1)}
 
     def find(self, word: str) -> tuple[int, int] | None:
-        """(term number, edits): the term with the fewest edits, the first of equals."""
+        """(term number, edits): the word itself, its longest stem, else the term with the fewest edits, the first of equals."""
         if (i := self.exact.get(word)) is not None:
             return i, 0
-        if len(word) not in self.lengths or not self.hint or not self.hint.search(word):
+        for n in self.stem_sizes:
+            if len(word) > n and (i := self.stems.get(word[:n])) is not None:
+                return i, 0
+        if len(word) not in self.lengths or not self.hint or not self.hint.search(word) or word in self.harmless:
             return None
-        found = [(e, i) for i, e in intersect(self.trie, LevenshteinAutomaton(word, 2 if len(word) >= TWO_EDITS - 2 else 1)) if e <= edits_for(self.trie.terms[i])]
-        return (min(found)[1], min(found)[0]) if found else None
+        found = [(e, i) for i, e in intersect(self.trie, LevenshteinAutomaton(word, 2 if len(word) >= TWO_EDITS - 2 else 1)) if 0 < e <= edits_for(self.trie.terms[i])]
+        return (self.exact[self.trie.terms[min(found)[1]]], min(found)[0]) if found else None
 
 
 def edits_for(term: str) -> int:
@@ -119,15 +131,17 @@ def edits_for(term: str) -> int:
 
 
 NONE, REPORT, ADDRESSEE = 0, 1, 2
-#: Evidence of a text, in this order; all counts are damped by log(1 + n).
-FEATURES = ("exact", "misspelled", "quoted", "addressed", "per_word")
+#: Evidence of a text, in this order; counts are damped by log(1 + n), stems are held against a usual rate.
+FEATURES = ("word", "misspelled", "quoted", "addressed", "stem", "stems")
+#: Words with a stem of the lexicon that a harmless text of a thousand words may hold.
+USUAL = 0.5
 
 
 def word_info(lexicon: Lexicon) -> Callable[[list[bytes]], np.ndarray]:
-    """For each word: its term (-1: none) and edits, its part in a context, quotation marks at its ends."""
+    """For each word: its term (-1: none), edits and whether that is a stem, its part in a context, quotation marks at its ends."""
 
     def compute(words: list[bytes]) -> np.ndarray:
-        out = np.zeros(len(words), [("term", np.int32), ("edits", np.int8), ("part", np.int8), ("opens", np.bool_), ("closes", np.bool_)])
+        out = np.zeros(len(words), [("term", np.int32), ("edits", np.int8), ("stem", np.bool_), ("part", np.int8), ("opens", np.bool_), ("closes", np.bool_)])
         out["term"] = -1
         for k, raw in enumerate(words):
             w = raw.decode(errors="replace").lower()
@@ -141,6 +155,7 @@ def word_info(lexicon: Lexicon) -> Callable[[list[bytes]], np.ndarray]:
                 out["opens"][k], out["closes"][k] = any(c in QUOTES for c in head), any(c in QUOTES for c in tail)
             if found := lexicon.find(bare):
                 out["term"][k], out["edits"][k] = found
+                out["stem"][k] = lexicon.terms[found[0]].endswith("*")
         return out
 
     return compute
@@ -148,7 +163,7 @@ def word_info(lexicon: Lexicon) -> Callable[[list[bytes]], np.ndarray]:
 
 def evidence(info: np.ndarray) -> np.ndarray:
     """The features of one text from its words' info."""
-    out = np.zeros(len(FEATURES))
+    n = dict.fromkeys(FEATURES, 0.0)
     for i in np.flatnonzero(info["term"] >= 0):
         near = info[max(0, i - WINDOW) : i + WINDOW + 1]
         before, after = info[max(0, i - WINDOW) : i + 1], info[i : i + WINDOW + 1]
@@ -156,68 +171,101 @@ def evidence(info: np.ndarray) -> np.ndarray:
         marked = before["opens"].any() and after["closes"].any() and not (before["closes"][:-1].any() and not before["opens"][-1])
         addressed = (near["part"] == ADDRESSEE).any()
         quoted_here = marked or ((near["part"] == REPORT).any() and not addressed)
-        out[2 if quoted_here else 0 if not info["edits"][i] else 1] += 1
-        out[3] += addressed and not quoted_here
-    out[4] = 100 * out[:2].sum() / max(len(info), 1)
-    return np.log1p(out)
+        n["quoted" if quoted_here else "stem" if info["stem"][i] else "misspelled" if info["edits"][i] else "word"] += 1
+        n["addressed"] += addressed and not quoted_here
+    usual = USUAL * len(info) / 1000
+    n["stems"] = max(0.0, n["stem"] - 1 - usual)
+    return np.log1p([n[f] for f in FEATURES])
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
     terms: list[str]
+    harmless: frozenset[str]
     weights: np.ndarray
     bias: float
 
-
-#: Where learning starts and what it is drawn to: a plain hit speaks for abuse, a quoted one hardly.
-PRIOR_WEIGHTS, PRIOR_BIAS, PULL = np.array([6.0, 5.0, 0.5, 1.0, 0.5]), -3.0, 0.02
-
-
-def learn_terms(texts: list[bytes], y: np.ndarray) -> list[str]:
-    """Words that mark label 1, each chosen for the marked texts it adds to those before."""
-    bags = [{w for raw in set(t.split()) if len(w := raw.decode(errors="replace").lower().strip(_STRIP)) >= 3 and w.isalpha()} for t in texts]
-    good, total = Counter(), Counter()
-    for b, label in zip(bags, y, strict=True):
-        total.update(b)
-        if label:
-            good.update(b)
-    fit = [w for w, n in good.items() if n >= MIN_TEXTS and n >= PRECISION * total[w]]
-    holders = {w: {i for i, b in enumerate(bags) if y[i] and w in b} for w in fit}
-    marked = {i for i, label in enumerate(y) if label}
-    open_texts, terms, most = set(marked), [], 0
-    while holders and len(terms) < TERMS:
-        best = max(holders, key=lambda w: (len(holders[w] & open_texts), len(holders[w]), w))
-        most = max(most, len(holders[best]))
-        # what is left may be words that merely come with a term; a real one covers new texts, or nearly as many as the best do
-        if len(holders[best] & open_texts) < max(MIN_TEXTS, GAIN * len(marked)):
+    def lexicon(self) -> Lexicon:
+        return Lexicon(self.terms, self.harmless)
+
+
+#: Where learning starts and what it is drawn to: a plain word speaks for abuse, one stem or a quotation hardly.
+PRIOR_WEIGHTS, PRIOR_BIAS, PULL = np.array([6.0, 5.0, 0.5, 1.0, 0.5, 2.0]), -2.5, 0.002
+
+
+def bare_words(text: bytes) -> Counter:
+    """Words of letters, in lower case, without marks at their ends."""
+    words = Counter(text.split())
+    out: Counter = Counter()
+    for raw, n in words.items():
+        w = raw.decode(errors="replace").lower().strip(_STRIP + "#$%&|")
+        if len(w) >= STEM[0] and w.isalpha():
+            out[w] += n
+    return out
+
+
+def stems_of(bag: Counter) -> set[str]:
+    """Stems of which the text holds two words or more."""
+    count: Counter = Counter()
+    for w, n in bag.items():
+        for k in STEM:
+            if k < len(w):
+                count[w[:k] + "*"] += n
+    return {s for s, n in count.items() if n >= STEM_TWICE}
+
+
+def learn_terms(bags: list[Counter], y: np.ndarray) -> list[str]:
+    """Words and stems that mark label 1, each chosen for the marked texts that it adds to those before."""
+    marked, plain = [i for i, label in enumerate(y) if label], [i for i, label in enumerate(y) if not label]
+    terms_of = [b.keys() | stems_of(b) for b in bags]
+    holders: dict[str, set] = {}
+    for i in marked:
+        for t in terms_of[i]:
+            holders.setdefault(t, set()).add(i)
+    holders = {t: x for t, x in holders.items() if len(x) >= MIN_TEXTS}
+    against = Counter(t for i in plain for t in terms_of[i] if t in holders)
+    rate = lambda t: (len(holders[t]) / len(marked), against[t] / len(plain))
+    holders = {t: x for t, x in holders.items() if (r := rate(t))[0] >= PRECISION * (r[0] + r[1])}
+    open_texts, terms = set(marked), []
+    left = dict(holders)
+    while left and len(terms) < TERMS:
+        # new texts less twice the harm; of equals a word before a stem, and the longest
+        best = max(left, key=lambda t: (len(left[t] & open_texts) / len(marked) - 2 * rate(t)[1], not t.endswith("*"), len(t), t))
+        if len(left[best] & open_texts) < max(MIN_TEXTS, GAIN * len(marked)):
             break
-        open_texts -= holders[best]
+        open_texts -= left.pop(best)
         terms.append(best)
-        del holders[best]
-    return terms + sorted((w for w, at in holders.items() if len(at) >= ALIKE * most), key=lambda w: (-len(holders[w]), w))[: TERMS - len(terms)]
+    # words that are nearly as common as the commonest one, though their texts are covered
+    most = max((len(holders[t]) for t in terms if not t.endswith("*")), default=0)
+    alike = [t for t, x in left.items() if not t.endswith("*") and most and len(x) >= max(ALIKE * most, MIN_TEXTS)]
+    return terms + sorted(alike, key=lambda t: (-len(holders[t]), t))[: TERMS - len(terms)]
 
 
 def fit(texts: list[bytes], labels: list[int]) -> ToxicityModel:
     y = np.array(labels, np.float64)
     if len(set(labels)) < 2:
-        return ToxicityModel([], PRIOR_WEIGHTS, PRIOR_BIAS)
-    terms = learn_terms(texts, y)
-    compute = word_info(Lexicon(terms))
+        return ToxicityModel([], frozenset(), PRIOR_WEIGHTS, PRIOR_BIAS)
+    bags = [bare_words(t) for t in texts]
+    terms = learn_terms(bags, y)
+    lexicon = Lexicon(terms)
+    ordinary = {w for b, label in zip(bags, y, strict=True) if not label for w in b}
+    harmless = frozenset(w for w in ordinary if w not in lexicon.exact and (f := lexicon.find(w)) and f[1])
+    compute = word_info(Lexicon(terms, harmless))
     x = np.array([evidence(compute(t.split())) for t in texts])
     w, b = PRIOR_WEIGHTS.copy(), PRIOR_BIAS
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
-    for _ in range(400):
+    for _ in range(3000):
         p = 1 / (1 + np.exp(-(x @ w + b)))
         back = weight * (p - y)
-        w -= 2.0 * (x.T @ back + PULL * (w - PRIOR_WEIGHTS))
-        b -= 2.0 * (back.sum() + PULL * (b - PRIOR_BIAS))
-    return ToxicityModel(terms, w, float(b))
+        w -= 1.0 * (x.T @ back + PULL * (w - PRIOR_WEIGHTS))
+        b -= 1.0 * (back.sum() + PULL * (b - PRIOR_BIAS))
+    return ToxicityModel(terms, harmless, w, float(b))
 
 
 def maker(get: Callable[[], ToxicityModel], threshold: float, spans: bool) -> Callable[[], Callable]:
     def make() -> Callable:
         model = get()
-        table = WordTable(word_info(Lexicon(model.terms)))
+        table = WordTable(word_info(model.lexicon()))
         nothing = 1 / (1 + np.exp(-model.bias))
 
         def run(texts: list) -> dict:

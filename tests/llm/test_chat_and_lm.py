@@ -1,0 +1,104 @@
+import random
+
+import numpy as np
+import pandas as pd
+
+from relflow.llm.chat import SEGMENT, Transitions, format_chats, parse, render, viterbi
+from relflow.llm.language_model import Network, context, log_probs, pseudo_likelihood, step
+from relflow.llm.queries import op10_chat_formatting
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_recorded_roles_come_back(spark):
+    want = pd.read_parquet(f"{SF}/conversations.parquet")
+    got = op10_chat_formatting(spark, SF).toPandas().merge(want.rename(columns={"role": "r"}), on=["conv_id", "turn"])
+    assert got.copies.sum() == len(want) and got.agrees.all()
+    assert (got.rendered == [render([(r, t)]) for r, t in zip(got.r, got.text, strict=True)]).all()
+
+
+def test_roles_without_markers():
+    turns = [("system", "You help."), ("user", "Why is it so?"), (None, "Because."), ("user", "And this?"), (None, "That too.")]
+    assert [x[0][0] for x in parse(turns)] == ["system", "user", "assistant", "user", "assistant"]
+
+
+def test_markers_in_the_text():
+    text = "User: hello there?\nmore of it\nAssistant: a reply\n### Human:\nagain"
+    assert parse([(None, text)]) == [[("user", "hello there?\nmore of it"), ("assistant", "a reply"), ("user", "\nagain")]]
+    assert parse([(None, "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>")]) == [[("user", "\nhi"), ("assistant", "\nyo")]]
+    assert parse([("user", "note: a plain line\nhttp://x")]) == [[("user", "note: a plain line\nhttp://x")]]
+    assert parse([(None, None)]) and parse([]) == []
+
+
+def test_viterbi_against_all_paths():
+    import itertools
+
+    from relflow.llm.chat import Line
+
+    t, rng = Transitions(), random.Random(1)
+    for _ in range(5):
+        lines = [Line(rng.choice(["why?", "x" * 300, "ok"]), rng.choice([None, "user", "assistant"]), rng.random() < 0.4) for _ in range(4)]
+
+        def weight(path, lines=lines):
+            p, prev = 1.0, None
+            for (r, opens), line in zip(path, lines, strict=True):
+                name = ("system", "user", "assistant", "tool")[r]
+                if prev is None:
+                    p *= t.first[r] if opens else 0
+                elif opens:
+                    p *= (1 - t.stay) * t.follow[prev][r]
+                else:
+                    p *= t.stay if prev == r else 0
+                shown = t.own_mark if line.mark == name else t.other_mark if line.mark else 1 - t.own_mark - 3 * t.other_mark
+                inner = t.inner_mark if line.mark else 1 - 4 * t.inner_mark
+                p *= (shown if opens else inner) * ((t.at_break if line.at_break else t.inside) if opens else (1 - t.at_break if line.at_break else 1 - t.inside))
+                p *= t.asks[r] if line.text.endswith("?") else 1 - t.asks[r]
+                p *= t.long[r] if len(line.text) > 200 else 1 - t.long[r]
+                prev = r
+            return p
+
+        best = max(itertools.product(itertools.product(range(4), (True, False)), repeat=4), key=weight)
+        assert np.isclose(weight(viterbi(lines, t)), weight(best))
+
+
+def test_odd_conversations(spark):
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, None, None), (None, 3, "bot", "x"), (2, None, "", ""), (2, None, "alien", "y\n\nz")]
+    rows += [(9, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(3 * SEGMENT)]
+    rows += [(8, 0, "user", f"same turn {i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumnRenamed("text", "text")
+    got = format_chats(df.selectExpr("*", "1 as rendered", "2 as copies")).toPandas()
+    assert got.copies.sum() == len(rows) and len(got) == len(set(rows))
+    nine = got[got.conv_id == 9].sort_values("turn")
+    assert nine.agrees.all() and len(nine) == 3 * SEGMENT
+    assert format_chats(df.limit(0)).count() == 0
+
+
+def test_lm_gradient_and_normalisation():
+    rng = np.random.default_rng(0)
+    net = Network.start()
+    ids = rng.integers(0, 200, 600).astype(np.int32)
+    off = np.array([0, 300, 300, 600])
+    near = context(ids, off)
+    assert near[0, :2].tolist() == [2024, 2024] and near[299, 2:].tolist() == [2024, 2024] and near[5].tolist() == [ids[3], ids[4], ids[6], ids[7]]
+    every = log_probs(net, np.repeat(near[5][None], 2025, 0), np.arange(2025))
+    assert np.isclose(np.exp(every).sum(), 1, atol=1e-3)
+    before = log_probs(net, near, ids).mean()
+    for _ in range(30):
+        step(net, near, ids)
+    assert log_probs(net, near, ids).mean() > before + 0.5
+
+
+def test_lm_prefers_the_corpus(spark, odd, odd_rows, empty):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rng = random.Random(2)
+    text = docs.where("length(text) > 3000").first()["text"].split()
+    rng.shuffle(text)
+    strange = spark.createDataFrame([(-1, " ".join("".join(rng.choice("qxzjkvw") for _ in range(6)) for _ in range(300))), (-2, " ".join(text))], "doc_id bigint, text string")
+    got = pseudo_likelihood(docs.unionByName(strange), keep=["doc_id"]).toPandas().set_index("doc_id")
+    real = got[(got.index >= 0) & (got.n_tokens >= 200)].mean_log_prob
+    assert got.loc[-1].mean_log_prob < real.median()
+    assert real.median() > -np.log(2025)
+    assert np.isclose(got.log_prob / got.n_tokens, got.mean_log_prob).all()
+    rows = pseudo_likelihood(odd).collect()
+    assert len(rows) == len(odd_rows) and all(r["mean_log_prob"] is None for r in rows if not r["n_tokens"])
+    assert pseudo_likelihood(empty).count() == 0
