@@ -23,14 +23,16 @@ from relflow.llm.batches import annotate
 
 MARK = "▁"
 #: Chunks that one generation of a worker's cache holds; two generations live at a time.
-CACHE = 300_000
+CACHE = 450_000
 #: Chunks longer than this are not cached.
 CACHED_CHARS = 48
 
 #: More places than a text has.
 PLACES = 1 << 40
+#: Symbols up to which the agenda is a list, and the rank there of a pair that makes no piece.
+SHORT, NO_RANK = 32, 1 << 60
 
-_CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+_CHUNK = re.compile(" *[^ ]+| +")
 
 
 class PieceModel:
@@ -54,7 +56,32 @@ class PieceModel:
 
     def encode_chunk(self, chunk: str) -> list[int]:
         """Ids of spaces and one word, by the agenda."""
-        symbols = list(chunk)
+        symbols = list(chunk.replace(" ", MARK))
+        symbols = self.merge_short(symbols) if len(symbols) <= SHORT else self.merge_long(symbols)
+        out: list[int] = []
+        for s in symbols:
+            if (k := self.ids.get(s)) is not None:
+                out.append(k)
+            else:
+                out.extend(self.bytes[b] for b in s.encode())
+        return out
+
+    def merge_short(self, symbols: list[str]) -> list[str]:
+        """The agenda as a list by place: of few pairs the best is found sooner than a heap is kept."""
+        get = self.ranks.get
+        agenda = [get(a + b, NO_RANK) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while agenda and (rank := min(agenda)) != NO_RANK:
+            i = agenda.index(rank)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del agenda[i]
+            if i:
+                agenda[i - 1] = get(symbols[i - 1] + symbols[i], NO_RANK)
+            if i < len(agenda):
+                agenda[i] = get(symbols[i] + symbols[i + 1], NO_RANK)
+        return symbols
+
+    def merge_long(self, symbols: list[str]) -> list[str]:
+        """The agenda as a heap, each symbol linked to its neighbours."""
         n = len(symbols)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
         # an entry is the merged piece's rank by score, then the place of its left symbol
@@ -74,17 +101,12 @@ class PieceModel:
                     heapq.heappush(agenda, r * PLACES + i)
             if (before := left[i]) >= 0 and (r := get(symbols[before] + merged)) is not None:
                 heapq.heappush(agenda, r * PLACES + before)
-        out: list[int] = []
-        for s in symbols:
-            if s:
-                if (k := self.ids.get(s)) is not None:
-                    out.append(k)
-                else:
-                    out.extend(self.bytes[b] for b in s.encode())
-        return out
+        return [s for s in symbols if s]
 
     def decode_ids(self, ids: list[int]) -> str:
         """Text of ids that spell whole characters, spaces as they are."""
+        if not any(map(self.byte.__getitem__, ids)):
+            return "".join(map(self.texts.__getitem__, ids)).replace(MARK, " ")
         out = bytearray()
         for i in ids:
             t = self.byte[i]
@@ -95,15 +117,15 @@ class PieceModel:
         """Raises if the library encodes a chunk differently."""
         theirs = self.library.encode([c[1:] for c in chunks], num_threads=1)
         # the library puts the first mark before any text but the empty one
-        theirs = [x if c != MARK else [self.library.piece_to_id(MARK)] for c, x in zip(chunks, theirs, strict=True)]
+        theirs = [x if c != " " else [self.library.piece_to_id(MARK)] for c, x in zip(chunks, theirs, strict=True)]
         for c, a, b in zip(chunks, ids, theirs, strict=True):
             if a != b:
                 raise AssertionError(f"the agenda gives {a} for {c!r}, the library {b}")
 
 
 def chunks_of(text: str) -> list[str]:
-    """Chunks of the normalised text: a space mark first, then each run of marks with its word."""
-    return _CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
+    """Chunks of the text: a space first, then each run of spaces with its word; the mark itself counts as a space."""
+    return _CHUNK.findall(" " + (text.replace(MARK, " ") if MARK in text else text)) if text else []
 
 
 class PieceCache:
@@ -129,7 +151,8 @@ class PieceCache:
         model.check(new, ids)
         long = {}
         for c, x in zip(new, ids, strict=True):
-            (young if len(c) <= CACHED_CHARS else long)[c] = (",".join(map(str, x)), len(x), model.decode_ids(x))
+            back = model.decode_ids(x)
+            (young if len(c) <= CACHED_CHARS else long)[c] = (",".join(map(str, x)), len(x), c if back == c else back)
         if long:
             return [young.get(c) or long[c] for c in chunks]
         return list(map(young.__getitem__, chunks))
