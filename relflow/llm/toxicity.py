@@ -190,7 +190,7 @@ class ToxicityModel:
 
 
 #: Where learning starts and what it is drawn to: a plain word speaks for abuse, one stem or a quotation hardly.
-PRIOR_WEIGHTS, PRIOR_BIAS, PULL = np.array([7.0, 6.5, 0.5, 1.0, 0.5, 2.0]), -2.5, 0.002
+PRIOR_WEIGHTS, PRIOR_BIAS, PULL = np.array([7.0, 6.5, 0.5, 1.0, 0.5, 2.0]), -2.5, 0.01
 
 
 def bare_words(text: bytes) -> Counter:
