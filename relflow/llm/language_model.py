@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from relflow.functions.lambdas import quoted
 from relflow.llm.batches import WordTable, annotate, flat, offsets, per_text, slices, text_of
@@ -29,6 +30,8 @@ SIDE, DIM = 2, 16
 STRIDE, BATCH, RATE, CLIP, SEED = 8, 1_024, 0.1, 0.25, 11
 #: Rows in which parameters travel, and partial sums that are formed before the last.
 CHUNK, SALTS = 4_096, 32
+#: Hash buckets of words that choose their commonest ones each.
+BUCKETS = 16
 
 SIZE = KNOWN + OTHER + 1
 #: The number of the padding before and after a text.
@@ -89,6 +92,14 @@ def soft(z: np.ndarray) -> np.ndarray:
     return z
 
 
+def log_soft(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each row of logits, the log-probability of one place."""
+    z -= z.max(1, keepdims=True)
+    own = z[np.arange(len(z)), at]
+    np.exp(z, out=z)
+    return own - np.log(z.sum(1))
+
+
 def forward(net: Network, near: np.ndarray) -> np.ndarray:
     h = np.repeat(net.hidden[None], len(near), 0)
     for j in range(2 * SIDE):
@@ -100,15 +111,13 @@ def log_probs(net: Network, near: np.ndarray, target: np.ndarray) -> np.ndarray:
     """The log-probability of each target from its neighbours."""
     h = forward(net, near)
     c, w = place(target)
-    p = soft(h @ net.classes[:, :-1].T + net.classes[:, -1])
-    out = np.log(p[np.arange(len(c)), c] + 1e-12)
+    out = log_soft(h @ net.classes[:, :-1].T + net.classes[:, -1], c)
     order = np.argsort(c, kind="stable")
     cuts = np.searchsorted(c[order], np.arange(CLASSES + 1))
     for k in range(CLASSES):
         rows = order[cuts[k] : cuts[k + 1]]
         if len(rows):
-            q = soft(h[rows] @ net.words[k, :, :-1].T + net.words[k, :, -1])
-            out[rows] += np.log(q[np.arange(len(rows)), w[rows]] + 1e-12)
+            out[rows] += log_soft(h[rows] @ net.words[k, :, :-1].T + net.words[k, :, -1], w[rows])
     return out
 
 
@@ -157,8 +166,9 @@ def word_ids(vocabulary: dict[bytes, int]) -> WordTable:
 def vocabulary_of(docs: DataFrame, text: str) -> dict[bytes, int]:
     """The KNOWN commonest words of the whole corpus, by count and then by word.
 
-    Counts are summed in the tasks and then over them; only as many rows as the
-    vocabulary has come to the driver.
+    Counts are summed in the tasks and then over them.  Each of BUCKETS hash
+    buckets hands on its commonest words, so the driver gets a bounded number of
+    rows however many partitions there are.
     """
     source = docs.select(text_of(docs, text).alias("t"))
 
@@ -180,7 +190,10 @@ def vocabulary_of(docs: DataFrame, text: str) -> dict[bytes, int]:
         yield hand_on()
 
     counts = source.mapInArrow(run, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.col("n").desc(), "w").limit(KNOWN).collect()
+    order = (F.col("n").desc(), F.col("w").asc())
+    bucket = Window.partitionBy("bucket").orderBy(*order)
+    best = counts.withColumn("bucket", F.pmod(F.xxhash64("w"), F.lit(BUCKETS))).withColumn("rank", F.row_number().over(bucket)).where(F.col("rank") <= KNOWN)
+    top = best.coalesce(BUCKETS).orderBy(*order).limit(KNOWN).select("w").collect()
     return {bytes(r["w"]): i for i, r in enumerate(top)}
 
 
@@ -245,8 +258,8 @@ def maker(get: Callable[[], tuple[dict, Network]]) -> Callable[[], Callable]:
             words = [words_of(t) for t in texts]
             off = offsets(words)
             ids = table(flat(words))
-            logs = np.zeros(len(flat(words)))
-            if len(logs):
+            logs = np.zeros(len(ids))
+            if len(ids):
                 near = context(ids, off)
                 for a in range(0, len(ids), 65_536):
                     logs[a : a + 65_536] = log_probs(net, near[a : a + 65_536], ids[a : a + 65_536])
