@@ -364,9 +364,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     low = F.expr(f"unhex(array_join(transform(sequence(0, {COMPARED - 1}), i -> substring(hex(tokens), 4 * i + 1, 2)), ''))")
     classes = written(classes.withColumn("low", low), "classes")
     groups = components(near_links(docs, classes, text), "links")
-    named = classes.select("digest", "id").join(groups.select(F.col("v").alias("digest"), "c"), "digest", "left").withColumn("c", F.coalesce("c", "digest"))
-    least = named.groupBy("c").agg(F.min("id").alias("component"))
-    of_class = written(named.join(least, "c").select("digest", "component"), "named")
+    # only classes with links are dealt by component, and its least id is looked up in a table of its own
+    linked = written(groups.select(F.col("v").alias("digest"), "c").join(classes.select("digest", "id"), "digest"), "linked")
+    least = written(linked.groupBy("c").agg(F.min("id").alias("component")), "least")
+    renamed = linked.select("digest", "c").join(least, "c").select("digest", "component")
+    of_class = classes.select("digest", "id").join(renamed, "digest", "left").select("digest", F.coalesce("component", "id").alias("component"))
     out = sketch.select("id", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(doc_id), "n_shingles", component.alias("component_id"), (F.col("id").isNull() | F.coalesce(F.col("id") == component, F.lit(True))).alias("kept"))

@@ -15,6 +15,7 @@ from relflow.llm.pieces import encode_pieces
 from relflow.llm.quality import quality_scores
 from relflow.llm.rules import quality_rules
 from relflow.llm.secrets import secret_scan
+from relflow.llm.sql import SQL
 from relflow.llm.tokencount import token_counts
 from relflow.llm.toxicity import toxicity_scores
 
@@ -74,4 +75,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
