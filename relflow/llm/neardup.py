@@ -368,7 +368,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     linked = written(groups.select(F.col("v").alias("digest"), "c").join(classes.select("digest", "id"), "digest"), "linked")
     least = written(linked.groupBy("c").agg(F.min("id").alias("component")), "least")
     renamed = linked.select("digest", "c").join(least, "c").select("digest", "component")
-    of_class = classes.select("digest", "id").join(renamed, "digest", "left").select("digest", F.coalesce("component", "id").alias("component"))
+    of_class = written(classes.select("digest", "id").join(renamed, "digest", "left").select("digest", F.coalesce("component", "id").alias("component")), "named")
+    # a join of two plain exchanges, so that Spark can split a class of very many copies
     out = sketch.select("id", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(doc_id), "n_shingles", component.alias("component_id"), (F.col("id").isNull() | F.coalesce(F.col("id") == component, F.lit(True))).alias("kept"))
