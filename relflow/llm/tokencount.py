@@ -7,7 +7,6 @@ it lacks is encoded once and kept in the worker's cache.  No pre-token is shuffl
 from __future__ import annotations
 
 import json
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,15 +19,15 @@ from tokenizers import Tokenizer
 from relflow.functions.lambdas import quoted
 from relflow.llm.batches import annotate
 
-#: Entries of the broadcast table: some 2 MB.
-TABLE = 40_000
-#: Rows, and bytes of a row's text, that may be sampled to choose them.
-SAMPLE_ROWS, SAMPLE_BYTES = 400, 100_000
+#: Entries of the broadcast table (some 2 MB), the pre-tokens that a sketch tracks to choose them, and partial sketches.
+TABLE, TRACKED, SKETCHES = 40_000, 100_000, 64
 #: Pre-tokens that one generation of a worker's cache holds, and their length.
 CACHE, CACHED_CHARS = 300_000, 48
 #: The byte-level pattern with its white space spelled out, as the library has it.
 _WS = r"\t-\r \x85\xa0  -     　"
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+#: Much the same pattern for the search of frequent pre-tokens, where a difference costs a cache entry only.
+_PIECE = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 #: Beyond these blocks the Unicode versions of pattern engines differ; such texts are split by the library.
 _ODD = regex.compile(r"[^\u0000-՗ -⁰₠-₿←-⏿─-⟿　-ヿ一-龥가-힣＀-￯\U0001f300-\U0001f64f]")
 
@@ -91,14 +90,20 @@ def counts_of(path: str) -> Counts:
 
 
 def frequent_lengths(docs: DataFrame, text: str, path: str) -> dict[str, int]:
-    """Lengths of the commonest pre-tokens of a bounded sample; they only decide which tier answers."""
-    t = F.col(quoted(text)).cast("string")
-    rows = docs.where(F.octet_length(t).between(1, SAMPLE_BYTES)).select(t.alias("t")).limit(SAMPLE_ROWS).collect()
-    counts, seen = counts_of(path), Counter()
-    for r in rows:
-        seen.update(counts.pretokens(r["t"])[0])
-    common = [p for p, _ in seen.most_common(TABLE) if len(p) <= CACHED_CHARS]
-    return dict(zip(common, counts.lengths(common), strict=True))
+    """Lengths of the commonest pre-tokens of all texts; they only decide which tier answers.
+
+    Each task counts its pre-tokens in a frequent-items sketch of bounded size;
+    sketches, not pre-tokens, are shuffled and merged in two rounds.
+    """
+    found = F.explode(F.regexp_extract_all(F.col(quoted(text)).cast("string"), F.lit(_PIECE), F.lit(0)))
+    words = docs.select(found.alias("w")).where(F.length("w") <= CACHED_CHARS).select("w", F.pmod(F.spark_partition_id(), F.lit(SKETCHES)).alias("part"))
+    # a table without texts still has one sketch
+    words = words.unionByName(docs.sparkSession.range(1).select(F.lit(" ").alias("w"), F.lit(0).alias("part")))
+    partial = words.groupBy("part").agg(F.expr(f"approx_top_k_accumulate(w, {TRACKED})").alias("sketch"))
+    merged = partial.agg(F.expr(f"approx_top_k_combine(sketch, {TRACKED})").alias("sketch"))
+    rows = merged.select(F.expr(f"inline(approx_top_k_estimate(sketch, {TABLE}))")).select("item").collect()
+    common = [r["item"] for r in rows]
+    return dict(zip(common, counts_of(path).lengths(common), strict=True))
 
 
 def maker(path: str, table: Callable[[], dict], limit: int) -> Callable[[], Callable]:

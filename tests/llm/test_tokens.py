@@ -7,7 +7,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from relflow.llm.pieces import encode_pieces
-from relflow.llm.tokencount import token_counts
+from relflow.llm.tokencount import frequent_lengths, token_counts
 
 RNG = random.Random(3)
 ALPHABET = "  \n\t ab cdeTHE'sll1234.,!?-_▁éß中文مر\U0001f600  ​\u0085\x1c\x00ﬁ"
@@ -72,3 +72,15 @@ def test_miss_caches_turn_over(spark, monkeypatch):
     p = [x for t in RANDOM for x in counts.pretokens(t)[0]]
     assert counts.lookup({}, p) == {x: n for x, n in zip(p, counts.lengths(p), strict=True)}
     assert [counts.lookup({}, [x])[x] for x in p[:50]] == counts.lengths(p[:50])
+
+
+def test_the_table_holds_the_commonest_pretokens_of_all_texts(spark, empty):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    # the commonest word stands in the last rows only, beyond any prefix of the table
+    rows = [(i, f"word{i} only") for i in range(600)] + [(1000 + i, "x lateword lateword") for i in range(600)] + [(3000, None), (3001, "y" * 100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    table = frequent_lengths(df, "text", path)
+    tok = Tokenizer.from_file(path)
+    assert {" lateword", " only", "x"} <= table.keys() and "y" * 100 not in table
+    assert all(n == len(tok.encode(p, add_special_tokens=False).ids) for p, n in table.items())
+    assert frequent_lengths(empty, "text", path) == {" ": 1}
