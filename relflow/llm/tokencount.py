@@ -100,7 +100,8 @@ def frequent_lengths(docs: DataFrame, text: str, path: str) -> dict[str, int]:
     # a table without texts still has one sketch
     words = words.unionByName(docs.sparkSession.range(1).select(F.lit(" ").alias("w"), F.lit(0).alias("part")))
     partial = words.groupBy("part").agg(F.expr(f"approx_top_k_accumulate(w, {TRACKED})").alias("sketch"))
-    merged = partial.agg(F.expr(f"approx_top_k_combine(sketch, {TRACKED})").alias("sketch"))
+    # grouped, so that merge tasks without rows yield no sketch
+    merged = partial.groupBy(F.pmod("part", F.lit(1)).alias("all")).agg(F.expr(f"approx_top_k_combine(sketch, {TRACKED})").alias("sketch"))
     rows = merged.select(F.expr(f"inline(approx_top_k_estimate(sketch, {TABLE}))")).select("item").collect()
     common = [r["item"] for r in rows]
     return dict(zip(common, counts_of(path).lengths(common), strict=True))

@@ -84,3 +84,12 @@ def test_the_table_holds_the_commonest_pretokens_of_all_texts(spark, empty):
     assert {" lateword", " only", "x"} <= table.keys() and "y" * 100 not in table
     assert all(n == len(tok.encode(p, add_special_tokens=False).ids) for p, n in table.items())
     assert frequent_lengths(empty, "text", path) == {" ": 1}
+
+
+def test_the_table_with_idle_merge_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string").coalesce(1)
+        assert frequent_lengths(df, "text", public_tokenizers.path("byte_bpe_50k.json")).keys() == {" ", "a", " b"}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
