@@ -23,7 +23,7 @@ from relflow.llm.batches import annotate
 
 MARK = "▁"
 #: Chunks that one generation of a worker's cache holds; two generations live at a time.
-CACHE = 450_000
+CACHE = 300_000
 #: Chunks longer than this are not cached.
 CACHED_CHARS = 48
 
@@ -129,14 +129,15 @@ def chunks_of(text: str) -> list[str]:
 
 
 class PieceCache:
-    """chunk -> (ids as text, number of ids, decoded text), in two generations."""
+    """chunk -> ids as text, in two generations; only chunks that decode to themselves are kept."""
 
     def __init__(self, model: PieceModel):
         self.model = model
         self.young: dict = {}
         self.old: dict = {}
 
-    def __call__(self, chunks: list[str]) -> list[tuple[str, int, str]]:
+    def __call__(self, chunks: list[str]) -> tuple[list[str], dict[str, str]]:
+        """The ids of each chunk as text, and what those chunks decode to that don't decode to themselves."""
         if len(self.young) > CACHE:
             self.old, self.young = self.young, {}
         young, old, model = self.young, self.old, self.model
@@ -149,13 +150,15 @@ class PieceCache:
                 new.append(c)
         ids = [model.encode_chunk(c) for c in new]
         model.check(new, ids)
-        long = {}
+        once: dict = {}
+        backs: dict = {}
         for c, x in zip(new, ids, strict=True):
-            back = model.decode_ids(x)
-            (young if len(c) <= CACHED_CHARS else long)[c] = (",".join(map(str, x)), len(x), c if back == c else back)
-        if long:
-            return [young.get(c) or long[c] for c in chunks]
-        return list(map(young.__getitem__, chunks))
+            if (back := model.decode_ids(x)) != c:
+                backs[c] = back
+            (young if len(c) <= CACHED_CHARS and back == c else once)[c] = ",".join(map(str, x))
+        if once:
+            return [young.get(c) or once[c] for c in chunks], backs
+        return list(map(young.__getitem__, chunks)), backs
 
 
 _MODELS: dict[str, PieceCache] = {}
@@ -174,14 +177,13 @@ def maker(path: str | None, with_ids: bool) -> Callable[[], Callable]:
 
         def run(texts: list) -> dict:
             chunks = [chunks_of((t or b"").decode()) for t in texts]
-            found = cache([c for x in chunks for c in x])
+            found, backs = cache([c for x in chunks for c in x])
             ids, counts, decoded, at = [], [], [], 0
             for x in chunks:
-                mine = found[at : at + len(x)]
+                ids.append(",".join(found[at : at + len(x)]))
                 at += len(x)
-                ids.append(",".join([m[0] for m in mine]))
-                counts.append(sum([m[1] for m in mine]))
-                decoded.append("".join([m[2] for m in mine])[1:])
+                counts.append(ids[-1].count(",") + 1 if x else 0)
+                decoded.append("".join([backs.get(c, c) for c in x] if backs else x)[1:])
             sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
             out: dict = {"n_tokens": np.array(counts, np.int64), "ids_sha256": [sha(s) for s in ids], "decoded_sha256": [sha(s) for s in decoded]}
             if with_ids:

@@ -6,7 +6,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from relflow.llm.pieces import encode_pieces
+from relflow.llm.pieces import PieceCache, PieceModel, encode_pieces
 from relflow.llm.tokencount import frequent_lengths, token_counts
 
 RNG = random.Random(3)
@@ -93,3 +93,12 @@ def test_the_table_with_idle_merge_tasks(spark):
         assert frequent_lengths(df, "text", public_tokenizers.path("byte_bpe_50k.json")).keys() == {" ", "a", " b"}
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_chunks_that_do_not_decode_to_themselves_are_not_kept(monkeypatch):
+    cache = PieceCache(PieceModel(public_tokenizers.path("piece_bpe_32k.model")))
+    whole = cache.model.decode_ids
+    monkeypatch.setattr(cache.model, "decode_ids", lambda ids: "?" if whole(ids) == " odd" else whole(ids))
+    for _ in range(2):
+        found, backs = cache([" odd", " even", " odd"])
+        assert backs == {" odd": "?"} and found[0] == found[2] and cache.young.keys() == {" even"}
