@@ -17,7 +17,7 @@ from relflow.functions.lambdas import quoted
 #: Bytes of text that a worker holds decoded at once; a longer text is a slice of its own.
 SLICE_BYTES = 2_000_000
 #: Distinct words that a worker's table holds before it starts anew.
-TABLE_WORDS = 500_000
+TABLE_WORDS = 300_000
 
 _U = np.uint64
 
