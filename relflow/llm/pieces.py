@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
+import operator
 import re
 from collections.abc import Callable
 
@@ -69,7 +71,7 @@ class PieceModel:
     def merge_short(self, symbols: list[str]) -> list[str]:
         """The agenda as a list by place: of few pairs the best is found sooner than a heap is kept."""
         get = self.ranks.get
-        agenda = [get(a + b, NO_RANK) for a, b in zip(symbols, symbols[1:], strict=False)]
+        agenda = list(map(get, map(operator.add, symbols, symbols[1:]), itertools.repeat(NO_RANK)))
         while agenda and (rank := min(agenda)) != NO_RANK:
             i = agenda.index(rank)
             symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
@@ -141,7 +143,7 @@ class PieceCache:
         if len(self.young) > CACHE:
             self.old, self.young = self.young, {}
         young, old, model = self.young, self.old, self.model
-        missing = {c for c in set(chunks) if c not in young}
+        missing = set(chunks).difference(young)
         new = []
         for c in missing:
             if (known := old.get(c)) is not None:
