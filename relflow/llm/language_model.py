@@ -1,9 +1,10 @@
 """Masked pseudo-likelihood with a bidirectional window network, trained in numpy.
 
-Every token is predicted from the words on both of its sides: position-wise
-embeddings are summed, squashed, and read by a two-level softmax (a class, then
-a word of the class).  A document's score is the sum of these conditional
-log-probabilities.  The vocabulary comes from counts over the whole corpus.
+Tokens are the words of a vocabulary, and the bytes of all other words.  Every
+token is predicted from those on both of its sides: position-wise embeddings are
+summed, squashed, and read by a two-level softmax (a class, then a token of the
+class).  A document's score is the sum of these conditional log-probabilities.
+The vocabulary comes from counts over the whole corpus and grows with it.
 Each task trains a copy of the network on its own texts, and the copies are
 averaged, weighted by their targets.
 """
@@ -12,6 +13,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
+from math import ceil, isqrt
 
 import numpy as np
 import pandas as pd
@@ -21,10 +24,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from relflow.functions.lambdas import quoted
-from relflow.llm.batches import WordTable, annotate, flat, offsets, per_text, slices, text_of
-
-#: Words in the vocabulary, buckets for all other words, and classes of the output; together they are a square.
-KNOWN, OTHER, CLASSES = 1_960, 64, 45
+from relflow.llm.batches import annotate, flat, offsets, per_text, slices, text_of
+
+#: The least number of words in the vocabulary of a corpus that has so many.
+KNOWN = 1_960
+#: A corpus of n bytes also gives its vocabulary all words that occur sqrt(n) / RARE times.
+RARE = 40
+#: Tokens that spell other words: a byte that begins a word, and one that goes on with it.
+SPELL = 512
+#: Tokens and classes of a network unless told otherwise.
+SIZE, CLASSES = 2_025, 45
 SIDE, DIM = 2, 16
 #: One in so many positions of every text is a training target; the others only serve as context.
 STRIDE, BATCH, RATE, CLIP, SEED = 8, 1_024, 0.1, 0.25, 11
@@ -33,14 +42,15 @@ CHUNK, SALTS = 4_096, 32
 #: Hash buckets of words that choose their commonest ones each.
 BUCKETS = 16
 
-SIZE = KNOWN + OTHER + 1
-#: The number of the padding before and after a text.
+#: The number of the padding before and after a text; it is the last token.
 PAD = SIZE - 1
+#: Logit of places that no token has, in classes that aren't full.
+NEVER = -30
 
 
 @dataclass
 class Network:
-    """``near[j]``: embeddings of the j-th neighbour; outputs for classes and for words in their class."""
+    """``near[j]``: embeddings of the j-th neighbour; outputs for classes and for tokens in their class."""
 
     near: np.ndarray
     hidden: np.ndarray
@@ -48,10 +58,14 @@ class Network:
     words: np.ndarray
 
     @staticmethod
-    def start() -> Network:
+    def start(size: int = SIZE) -> Network:
         rng = np.random.default_rng(SEED)
         small = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
-        return Network(small(2 * SIDE, SIZE, DIM), np.zeros(DIM, np.float32), small(CLASSES, DIM + 1), small(CLASSES, SIZE // CLASSES, DIM + 1))
+        n = isqrt(size - 1) + 1
+        net = Network(small(2 * SIDE, size, DIM), np.zeros(DIM, np.float32), small(n, DIM + 1), small(n, ceil(size / n), DIM + 1))
+        c, w = place(np.arange(size, net.words.shape[0] * net.words.shape[1]), n)
+        net.words[c, w] = [0] * DIM + [NEVER]
+        return net
 
     def parts(self) -> list[np.ndarray]:
         return [self.near, self.hidden, self.classes, self.words]
@@ -67,21 +81,21 @@ class Network:
         return self
 
 
-def context(ids: np.ndarray, off: np.ndarray) -> np.ndarray:
+def context(ids: np.ndarray, off: np.ndarray, pad: int = PAD) -> np.ndarray:
     """Neighbours (2 * SIDE columns) of each token, padded at the ends of its text."""
     owner = np.repeat(np.arange(len(off) - 1), np.diff(off))
     start, end = off[:-1][owner], off[1:][owner]
     at = np.arange(len(ids))
-    out = np.full((len(ids), 2 * SIDE), PAD, np.int32)
+    out = np.full((len(ids), 2 * SIDE), pad, np.int32)
     for j, shift in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
         ok = (at + shift >= start) & (at + shift < end)
         out[ok, j] = ids[at[ok] + shift]
     return out
 
 
-def place(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def place(token: np.ndarray, classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
     """(class, number in the class): common words stand spread over all classes."""
-    return word % CLASSES, word // CLASSES
+    return token % classes, token // classes
 
 
 def soft(z: np.ndarray) -> np.ndarray:
@@ -110,11 +124,11 @@ def forward(net: Network, near: np.ndarray) -> np.ndarray:
 def log_probs(net: Network, near: np.ndarray, target: np.ndarray) -> np.ndarray:
     """The log-probability of each target from its neighbours."""
     h = forward(net, near)
-    c, w = place(target)
+    c, w = place(target, len(net.classes))
     out = log_soft(h @ net.classes[:, :-1].T + net.classes[:, -1], c)
     order = np.argsort(c, kind="stable")
-    cuts = np.searchsorted(c[order], np.arange(CLASSES + 1))
-    for k in range(CLASSES):
+    cuts = np.searchsorted(c[order], np.arange(len(net.classes) + 1))
+    for k in range(len(net.classes)):
         rows = order[cuts[k] : cuts[k + 1]]
         if len(rows):
             out[rows] += log_soft(h[rows] @ net.words[k, :, :-1].T + net.words[k, :, -1], w[rows])
@@ -125,14 +139,14 @@ def step(net: Network, near: np.ndarray, target: np.ndarray) -> None:
     """One step of stochastic gradient descent on a batch of targets."""
     n = len(target)
     h = forward(net, near)
-    c, w = place(target)
+    c, w = place(target, len(net.classes))
     p = soft(h @ net.classes[:, :-1].T + net.classes[:, -1])
     p[np.arange(n), c] -= 1
     back = p @ net.classes[:, :-1]
     grad_c = np.concatenate([p.T @ h, p.sum(0)[:, None]], 1)
     order = np.argsort(c, kind="stable")
-    cuts = np.searchsorted(c[order], np.arange(CLASSES + 1))
-    for k in range(CLASSES):
+    cuts = np.searchsorted(c[order], np.arange(len(net.classes) + 1))
+    for k in range(len(net.classes)):
         rows = order[cuts[k] : cuts[k + 1]]
         if not len(rows):
             continue
@@ -154,22 +168,40 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def word_ids(vocabulary: dict[bytes, int]) -> WordTable:
-    """Numbers of words; those outside the vocabulary share buckets by length and last byte."""
+def tokens_of(texts: list, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all texts, and where each text begins in them.
+
+    A word of the vocabulary is one token; another is spelled, one token a byte.
+    """
+    words = [words_of(t) for t in texts]
+    off, every = offsets(words), flat(words)
+    ids = np.fromiter(map(vocabulary.get, every, repeat(-1)), np.int32, len(every))
+    other = ids < 0
+    spelled = [every[i] for i in np.flatnonzero(other).tolist()]
+    n = np.ones(len(every), np.int64)
+    n[other] = list(map(len, spelled))
+    at = np.concatenate([[0], np.cumsum(n)])
+    out = np.repeat(ids, n)
+    out[out < 0] = len(vocabulary) + SPELL // 2 + np.frombuffer(b"".join(spelled), np.uint8).astype(np.int32)
+    out[at[:-1][other]] -= SPELL // 2
+    return out, at[off]
 
-    def compute(words: list[bytes]) -> np.ndarray:
-        return np.fromiter((vocabulary.get(w, -1) if w in vocabulary else KNOWN + (min(len(w), 15) * 7 + w[-1]) % OTHER for w in words), np.int32, len(words))
 
-    return WordTable(compute)
+def size_of(vocabulary: dict[bytes, int]) -> int:
+    """The number of tokens: words, bytes and the padding."""
+    return len(vocabulary) + SPELL + 1
 
 
 def vocabulary_of(docs: DataFrame, text: str) -> dict[bytes, int]:
-    """The KNOWN commonest words of the whole corpus, by count and then by word.
+    """Words of the whole corpus by count and then by word: the KNOWN commonest, and all that occur sqrt(bytes) / RARE times.
 
-    Counts are summed in the tasks and then over them.  Each of BUCKETS hash
+    The vocabulary grows with the corpus, with RARE * sqrt(bytes) / 2 words at the
+    most.  Counts are summed in the tasks and then over them.  Each of BUCKETS hash
     buckets hands on its commonest words, so the driver gets a bounded number of
     rows however many partitions there are.
     """
+    size = docs.select(F.sum(F.octet_length(text_of(docs, text))).alias("n")).first()["n"] or 0
+    least = max(2, isqrt(size) // RARE)
     source = docs.select(text_of(docs, text).alias("t"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,9 +224,9 @@ def vocabulary_of(docs: DataFrame, text: str) -> dict[bytes, int]:
     counts = source.mapInArrow(run, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
     order = (F.col("n").desc(), F.col("w").asc())
     bucket = Window.partitionBy("bucket").orderBy(*order)
-    best = counts.withColumn("bucket", F.pmod(F.xxhash64("w"), F.lit(BUCKETS))).withColumn("rank", F.row_number().over(bucket)).where(F.col("rank") <= KNOWN)
-    top = best.coalesce(BUCKETS).orderBy(*order).limit(KNOWN).select("w").collect()
-    return {bytes(r["w"]): i for i, r in enumerate(top)}
+    best = counts.withColumn("bucket", F.pmod(F.xxhash64("w"), F.lit(BUCKETS))).withColumn("rank", F.row_number().over(bucket)).where((F.col("rank") <= KNOWN) | (F.col("n") >= least))
+    top = sorted((-r["n"], bytes(r["w"])) for r in best.select("w", "n").collect())
+    return {w: i for i, (n, w) in enumerate(top) if i < KNOWN or -n >= least}
 
 
 def train(docs: DataFrame, text: str, vocabulary: dict[bytes, int]) -> Network:
@@ -203,19 +235,18 @@ def train(docs: DataFrame, text: str, vocabulary: dict[bytes, int]) -> Network:
     source = docs.select(text_of(docs, text).alias("t"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, table, seen = Network.start(), word_ids(shared.value), 0
+        vocabulary = shared.value
+        net, seen = Network.start(size_of(vocabulary)), 0
         nears, targets = [], []
         for batch in batches:
             for part in slices(batch, 0):
-                words = [words_of(t) for t in part.column(0).to_pylist()]
-                off = offsets(words)
-                ids = table(flat(words))
+                ids, off = tokens_of(part.column(0).to_pylist(), vocabulary)
                 if not len(ids):
                     continue
                 # the first target of a text differs from text to text
-                owner = np.repeat(np.arange(len(words)), np.diff(off))
+                owner = np.repeat(np.arange(len(off) - 1), np.diff(off))
                 at = np.flatnonzero((np.arange(len(ids)) - off[owner] + np.diff(off)[owner]) % STRIDE == 0)
-                nears.append(context(ids, off)[at])
+                nears.append(context(ids, off, size_of(vocabulary) - 1)[at])
                 targets.append(ids[at])
                 if sum(map(len, targets)) >= 16 * BATCH:
                     seen += _epoch(net, np.concatenate(nears), np.concatenate(targets))
@@ -232,7 +263,7 @@ def train(docs: DataFrame, text: str, vocabulary: dict[bytes, int]) -> Network:
     sums = sums.groupBy("chunk", "salt").applyInPandas(_summed, "chunk int, salt int, n double, v binary")
     sums = sums.groupBy("chunk").applyInPandas(_summed, "chunk int, salt int, n double, v binary")
     rows = sorted(sums.collect(), key=lambda r: r["chunk"])
-    net = Network.start()
+    net = Network.start(size_of(vocabulary))
     return net.load(np.concatenate([np.frombuffer(bytes(r["v"])) / r["n"] for r in rows]).astype(np.float32)) if rows else net
 
 
@@ -252,15 +283,12 @@ def _summed(rows: pd.DataFrame) -> pd.DataFrame:
 def maker(get: Callable[[], tuple[dict, Network]]) -> Callable[[], Callable]:
     def make() -> Callable:
         vocabulary, net = get()
-        table = word_ids(vocabulary)
 
         def run(texts: list) -> dict:
-            words = [words_of(t) for t in texts]
-            off = offsets(words)
-            ids = table(flat(words))
+            ids, off = tokens_of(texts, vocabulary)
             logs = np.zeros(len(ids))
             if len(ids):
-                near = context(ids, off)
+                near = context(ids, off, size_of(vocabulary) - 1)
                 for a in range(0, len(ids), 65_536):
                     logs[a : a + 65_536] = log_probs(net, near[a : a + 65_536], ids[a : a + 65_536])
             total, n = per_text(logs, off), np.diff(off)
@@ -274,7 +302,9 @@ def maker(get: Callable[[], tuple[dict, Network]]) -> Callable[[], Callable]:
 def pseudo_likelihood(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``n_tokens``, ``log_prob`` (summed over tokens) and ``mean_log_prob`` of each whole text.
 
-    Vocabulary and network come from all of ``docs``.  Null and empty texts have
+    Vocabulary and network come from all of ``docs``.  A word of the vocabulary is a
+    token, and so is each byte of another word: each has a conditional probability
+    of its own.  Null and empty texts have
     no tokens, log_prob 0 and no mean.  Repeated rows score alike; other columns
     stay, except those named as the results.  An empty table gives an empty table.
     """

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 
 from relflow.llm.chat import SEGMENT, Transitions, format_chats, parse, render, viterbi
-from relflow.llm.language_model import Network, context, log_probs, pseudo_likelihood, step
+from relflow.llm.language_model import KNOWN, Network, context, log_probs, pseudo_likelihood, size_of, step, tokens_of, vocabulary_of
 from relflow.llm.queries import op10_chat_formatting
 
 SF = "/root/testdata/sf0.001"
@@ -102,3 +102,24 @@ def test_lm_prefers_the_corpus(spark, odd, odd_rows, empty):
     rows = pseudo_likelihood(odd).collect()
     assert len(rows) == len(odd_rows) and all(r["mean_log_prob"] is None for r in rows if not r["n_tokens"])
     assert pseudo_likelihood(empty).count() == 0
+
+
+def test_lm_spells_rare_words_and_grows():
+    vocabulary = {b"the": 0, b"of": 1}
+    ids, off = tokens_of([b"The abc of", None, b"xbc"], vocabulary)
+    assert ids.tolist() == [0, 2 + 97, 258 + 98, 258 + 99, 1, 2 + 120, 258 + 98, 258 + 99] and off.tolist() == [0, 5, 5, 8]
+    for size in (size_of(vocabulary), 2025, 3000):
+        net = Network.start(size)
+        every = log_probs(net, np.full((size, 4), size - 1), np.arange(size))
+        assert np.isclose(np.exp(every).sum(), 1, atol=1e-3)
+
+
+def test_lm_tells_rare_words_apart(spark):
+    # two words of one length and last byte that are outside the vocabulary, in the same place
+    common = " ".join(f"w{i} w{i}" for i in range(KNOWN))
+    docs = spark.createDataFrame([(0, common), (1, "w1 abcdez w2"), (2, "w1 qxjkvz w2")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["log_prob"] for r in pseudo_likelihood(docs, keep=["doc_id"]).collect()}
+    assert abs(got[1] - got[2]) > 1e-3
+    # words that are common enough all count, however many there are
+    many = spark.createDataFrame([(" ".join(f"v{i}" for i in range(KNOWN + 500)),)] * 8, "text string")
+    assert len(vocabulary_of(many, "text")) == KNOWN + 500
