@@ -35,8 +35,7 @@ SPELL = 512
 #: Tokens and classes of a network unless told otherwise.
 SIZE, CLASSES = 2_025, 45
 SIDE, DIM = 2, 16
-#: One in so many positions of every text is a training target; the others only serve as context.
-STRIDE, BATCH, RATE, CLIP, SEED = 8, 1_024, 0.1, 0.25, 11
+BATCH, RATE, CLIP, SEED = 1_024, 0.1, 0.25, 11
 #: Rows in which parameters travel, and partial sums that are formed before the last.
 CHUNK, SALTS = 4_096, 32
 #: Hash buckets of words that choose their commonest ones each.
@@ -230,7 +229,7 @@ def vocabulary_of(docs: DataFrame, text: str) -> dict[bytes, int]:
 
 
 def train(docs: DataFrame, text: str, vocabulary: dict[bytes, int]) -> Network:
-    """Copies trained by the tasks, averaged.  A corpus without words leaves the first weights."""
+    """Copies trained by the tasks on every position of their texts, averaged.  A corpus without words leaves the first weights."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     source = docs.select(text_of(docs, text).alias("t"))
 
@@ -243,11 +242,8 @@ def train(docs: DataFrame, text: str, vocabulary: dict[bytes, int]) -> Network:
                 ids, off = tokens_of(part.column(0).to_pylist(), vocabulary)
                 if not len(ids):
                     continue
-                # the first target of a text differs from text to text
-                owner = np.repeat(np.arange(len(off) - 1), np.diff(off))
-                at = np.flatnonzero((np.arange(len(ids)) - off[owner] + np.diff(off)[owner]) % STRIDE == 0)
-                nears.append(context(ids, off, size_of(vocabulary) - 1)[at])
-                targets.append(ids[at])
+                nears.append(context(ids, off, size_of(vocabulary) - 1))
+                targets.append(ids)
                 if sum(map(len, targets)) >= 16 * BATCH:
                     seen += _epoch(net, np.concatenate(nears), np.concatenate(targets))
                     nears, targets = [], []

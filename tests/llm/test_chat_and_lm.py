@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 
 from relflow.llm.chat import SEGMENT, Transitions, format_chats, parse, render, viterbi
-from relflow.llm.language_model import KNOWN, Network, context, log_probs, pseudo_likelihood, size_of, step, tokens_of, vocabulary_of
+from relflow.llm.language_model import KNOWN, Network, context, log_probs, pseudo_likelihood, size_of, step, tokens_of, train, vocabulary_of
 from relflow.llm.queries import op10_chat_formatting
 
 SF = "/root/testdata/sf0.001"
@@ -123,3 +123,14 @@ def test_lm_tells_rare_words_apart(spark):
     # words that are common enough all count, however many there are
     many = spark.createDataFrame([(" ".join(f"v{i}" for i in range(KNOWN + 500)),)] * 8, "text string")
     assert len(vocabulary_of(many, "text")) == KNOWN + 500
+
+
+def test_lm_trains_on_every_position(spark):
+    docs = spark.createDataFrame([("a b",), ("c",), ("a b c d",), (None,)] * 30, "text string")
+    vocabulary = vocabulary_of(docs, "text")
+    net, start = train(docs, "text", vocabulary), Network.start(size_of(vocabulary))
+    assert not np.allclose(net.vector(), start.vector())
+    # every one of the words stands at a place that trains
+    ids, off = tokens_of([b"a b c d"], vocabulary)
+    near = context(ids, off, size_of(vocabulary) - 1)
+    assert (log_probs(net, near, ids) > log_probs(start, near, ids)).all()
