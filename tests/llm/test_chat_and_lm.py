@@ -134,3 +134,33 @@ def test_lm_trains_on_every_position(spark):
     ids, off = tokens_of([b"a b c d"], vocabulary)
     near = context(ids, off, size_of(vocabulary) - 1)
     assert (log_probs(net, near, ids) > log_probs(start, near, ids)).all()
+
+
+def test_long_conversations_are_parsed_whole(spark):
+    # unmarked rows over many segments, and a turn number that repeats, against one transcript each
+    rng = random.Random(3)
+    speakers = [None, None, None, "user", "assistant", "tool"]
+    rows = [(1, i, rng.choice(speakers), rng.choice(["ok", "why?", "x" * 300]) + f" {i}" + rng.choice(["", "?", "\nand more"])) for i in range(5 * SEGMENT)]
+    rows += [(2, 0, rng.choice(["", "user", "assistant"]), f"same turn {i:03}" + rng.choice(["", "?", "\nAssistant: so"])) for i in range(400)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+        got = out.collect()
+        assert out.rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    shown = {(r["conv_id"], r["turn"], r["role"], r["n_lines"], r["rendered"]) for r in got}
+    for conv in (1, 2):
+        mine = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1], r[2] or "", r[3]))
+        want = {(conv, r[1], r[2], r[3].count("\n") + 1, render(x)) for r, x in zip(mine, parse([(r[2], r[3]) for r in mine]), strict=True)}
+        assert want == {x for x in shown if x[0] == conv}
+
+
+def test_chained_parts_give_the_path_of_the_whole():
+    from relflow.llm.chat import Line, chained, transfer
+
+    t, rng = Transitions(), random.Random(4)
+    lines = [Line(rng.choice(["why?", "x" * 300, "ok"]), rng.choice([None, None, "user", "assistant"]), rng.random() < 0.4) for _ in range(120)]
+    parts = [lines[:1], lines[1:40], lines[40:41], lines[41:]]
+    ends = chained([transfer(p, t) for p in parts])
+    assert [x for p, (enter, leave) in zip(parts, ends, strict=True) for x in viterbi(p, t, enter, leave)] == viterbi(lines, t)
