@@ -25,10 +25,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the least id; rows without an id stay."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    unlike = docs.join(gone, "doc_id", "left_anti")
-    return unlike.where("doc_id is null").unionByName(unlike.where("doc_id is not null").dropDuplicates(["doc_id"])).select(*docs.columns)
+    """One document of each group of near-duplicates, the one with the least id; rows without an id stay.
+
+    Rows are told apart by id and text, so unlike texts that share an id all stay.
+    """
+    found = near_duplicates(docs, key="__key", group="__group").where(F.col("kept") & F.col("doc_id").isNotNull())
+    # rows without words have no group and are alike only if their texts are equal
+    alone = F.when(F.col("__group").isNull(), F.col("__key"))
+    least = found.groupBy("doc_id", "__group", alone.alias("__alone")).agg(F.min("__key").alias("__key")).select("doc_id", "__key")
+    known = docs.where("doc_id is not null").withColumn("__key", F.xxhash64(F.col("text").cast("string")))
+    stay = known.join(least, ["doc_id", "__key"], "left_semi").dropDuplicates(["doc_id", "__key"])
+    return docs.where("doc_id is null").unionByName(stay.select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -345,7 +345,7 @@ def near_links(docs: DataFrame, classes: DataFrame, text: str) -> DataFrame:
     return _in_runs(pairs.join(sets, "digest").select("cell", "digest", "shingles"), "cell", equal_pairs)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: str | None = None, group: str | None = None) -> DataFrame:
     """One row for each document: ``n_shingles``, ``component_id`` and ``kept``.
 
     Documents are linked if their shingle sets share 75 % of their union;
@@ -355,6 +355,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     with a null id are kept, and have the component of their links, null without
     any.  Repeated rows have equal texts, so they are linked; those with the least
     id are all kept.  Other columns are not read.  An empty table gives an empty one.
+    ``key`` names a further column with the xxhash64 of the text, and ``group`` one
+    that tells components apart even where their least ids clash; it is null
+    without words.
     """
     t = F.col(quoted(text)).cast("string")
     rows = docs.select(F.col(quoted(doc_id)).alias("id"), F.xxhash64(t).alias("key"), t.alias("t"))
@@ -367,9 +370,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     # only classes with links are dealt by component, and its least id is looked up in a table of its own
     linked = written(groups.select(F.col("v").alias("digest"), "c").join(classes.select("digest", "id"), "digest"), "linked")
     least = written(linked.groupBy("c").agg(F.min("id").alias("component")), "least")
-    renamed = linked.select("digest", "c").join(least, "c").select("digest", "component")
-    of_class = written(classes.select("digest", "id").join(renamed, "digest", "left").select("digest", F.coalesce("component", "id").alias("component")), "named")
+    renamed = linked.select("digest", "c").join(least, "c").select("digest", "component", "c")
+    of_class = written(classes.select("digest", "id").join(renamed, "digest", "left").select("digest", F.coalesce("component", "id").alias("component"), F.coalesce("c", "digest").alias("c")), "named")
     # a join of two plain exchanges, so that Spark can split a class of very many copies
-    out = sketch.select("id", "n_shingles", "digest").join(of_class, "digest", "left")
+    out = sketch.select("id", "key", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(doc_id), "n_shingles", component.alias("component_id"), (F.col("id").isNull() | F.coalesce(F.col("id") == component, F.lit(True))).alias("kept"))
+    more = [F.col(c).alias(name) for c, name in (("key", key), ("c", group)) if name]
+    return out.select(F.col("id").alias(doc_id), "n_shingles", component.alias("component_id"), (F.col("id").isNull() | F.coalesce(F.col("id") == component, F.lit(True))).alias("kept"), *more)

@@ -57,3 +57,11 @@ def test_null_ids_and_repeats(spark):
     assert sorted(str(r["doc_id"]) for r in kept) == ["1", "2", "None", "None"]
     assert corpus_pipeline.secrets(spark, docs, SF).count() == 5
     assert corpus_pipeline.decontaminate(spark, docs, SF).count() == 5
+
+
+def test_clashing_ids(spark):
+    a, b = "a text of a few words that stays as it is here", "some other passage with nothing in common at all but its number"
+    rows = [(1, a), (2, a), (2, b), (3, "one more unlike text under this id"), (3, "and yet another that shares no words"), (3, "and yet another that shares no words"), (4, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()]
+    assert sorted(kept, key=str) == sorted({r for r in rows if r != (2, a)}, key=str)
