@@ -76,3 +76,18 @@ def test_misspelling_and_quotation():
     out = maker(lambda: model, 0.7, True)()([b"you idi0t", b"you worthles one", b'he said the word "idiot" is an insult', b"nothing here", b""])
     assert out["predicted"].tolist() == [1, 1, 0, 0, 0]
     assert out["hits"][0] == ["1:idiot:1"]
+
+
+def test_samples_are_drawn_from_usable_texts(spark):
+    from relflow.llm.samples import training_texts
+
+    ids = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id bigint, quality int")
+    some = ids[:12]
+    docs = spark.createDataFrame([(i, f"text {i} " + "long " * 20_000) for i in some] + [(i, None) for i in ids[12:40]], "doc_id bigint, text string")
+    texts, y = training_texts(docs, labels, "quality", per_label=4)
+    # texts of 100 KB: two of each label are in the budget of 4 * 60 KB
+    assert sorted(y) == [0, 0, 1, 1]
+    assert all(len(t) > 60_000 for t in texts)
+    short = spark.createDataFrame([(i, f"text {i}") for i in some], "doc_id bigint, text string")
+    assert sorted(training_texts(short, labels, "quality", per_label=4)[1]) == [0] * 4 + [1] * 4
