@@ -31,7 +31,8 @@ def test_stages(spark, tmp_path):
             assert sorted(after.doc_id) == [d for d, _, _, kept in near(rows) if kept]
         elif name == "decontamination":
             want = contaminated(rows, list(zip(items.item_id.tolist(), items.text.tolist(), strict=True)))
-            assert sorted(after.doc_id) == sorted(r[0] for r in want if not r[5])
+            assert sorted(after.doc_id) == sorted(r[0] for r in want if not r[2])
+            assert len(after) < len(before)
         elif name == "secrets":
             assert sorted(after.doc_id) == sorted(before.doc_id)
             assert all(secret_counts(t)[:3] == (0, 0, 0) for t in after.text)
@@ -59,6 +60,16 @@ def test_null_ids_and_repeats(spark):
     assert corpus_pipeline.decontaminate(spark, docs, SF).count() == 5
 
 
+def test_a_passage_of_one_item_is_enough(spark):
+    item = pd.read_parquet(f"{SF}/benchmark.parquet").text[0]
+    passage = " ".join(item.split()[:10])
+    rows = [(1, f"some words before {passage} and some after"), (2, "some words before " + " ".join(item.split()[:5]) + " and some after"), (3, None), (4, passage.upper())]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, n_hit string, n_items bigint")
+    out = corpus_pipeline.decontaminate(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted(tuple(r) for r in out.collect()) == [(2, rows[1][1], "en", "s", 1), (3, None, "en", "s", 1)]
+
+
 def test_clashing_ids(spark):
     a, b = "a text of a few words that stays as it is here", "some other passage with nothing in common at all but its number"
     rows = [(1, a), (2, a), (2, b), (3, "one more unlike text under this id"), (3, "and yet another that shares no words"), (3, "and yet another that shares no words"), (4, None), (4, "")]
