@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,6 +118,19 @@ class WordTable:
         return at
 
 
+def lower_words(texts: list) -> tuple[list, np.ndarray, np.ndarray]:
+    """(words, numbers, offsets): the different words of all texts by ASCII white space, A-Z in lower case, and each text's as numbers into them."""
+    column = pa.array([t or b"" for t in texts], pa.binary()).view(pa.string())
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(column)))
+    n, values = np.diff(lists.offsets.to_numpy()), lists.flatten()
+    blank = pc.equal(pc.binary_length(values), 0)
+    if pc.any(blank).as_py():  # texts without words, which split into one of no length
+        n[np.searchsorted(np.cumsum(n), np.flatnonzero(blank), side="right")] = 0
+        values = values.filter(pc.invert(blank))
+    coded = values.dictionary_encode()
+    return coded.dictionary.view(pa.binary()).to_pylist(), coded.indices.to_numpy(), np.concatenate([np.zeros(1, np.int64), np.cumsum(n, dtype=np.int64)])
+
+
 def hash_words(words: list) -> np.ndarray:
     """64-bit hashes of words given as bytes."""
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), _U, len(words))

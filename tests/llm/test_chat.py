@@ -4,7 +4,6 @@ import numpy as np
 import pandas as pd
 
 from relflow.llm.chat import SEGMENT, Transitions, format_chats, parse, render, viterbi
-from relflow.llm.language_model import KNOWN, Network, context, log_probs, pseudo_likelihood, size_of, step, tokens_of, train, vocabulary_of
 from relflow.llm.queries import op10_chat_formatting
 
 SF = "/root/testdata/sf0.001"
@@ -73,69 +72,6 @@ def test_odd_conversations(spark):
     assert format_chats(df.limit(0)).count() == 0
 
 
-def test_lm_gradient_and_normalisation():
-    rng = np.random.default_rng(0)
-    net = Network.start()
-    ids = rng.integers(0, 200, 600).astype(np.int32)
-    off = np.array([0, 300, 300, 600])
-    near = context(ids, off)
-    assert near[0, :2].tolist() == [2024, 2024] and near[299, 2:].tolist() == [2024, 2024] and near[5].tolist() == [ids[3], ids[4], ids[6], ids[7]]
-    every = log_probs(net, np.repeat(near[5][None], 2025, 0), np.arange(2025))
-    assert np.isclose(np.exp(every).sum(), 1, atol=1e-3)
-    before = log_probs(net, near, ids).mean()
-    for _ in range(30):
-        step(net, near, ids)
-    assert log_probs(net, near, ids).mean() > before + 0.5
-
-
-def test_lm_prefers_the_corpus(spark, odd, odd_rows, empty):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    rng = random.Random(2)
-    text = docs.where("length(text) > 3000").first()["text"].split()
-    rng.shuffle(text)
-    strange = spark.createDataFrame([(-1, " ".join("".join(rng.choice("qxzjkvw") for _ in range(6)) for _ in range(300))), (-2, " ".join(text))], "doc_id bigint, text string")
-    got = pseudo_likelihood(docs.unionByName(strange), keep=["doc_id"]).toPandas().set_index("doc_id")
-    real = got[(got.index >= 0) & (got.n_tokens >= 200)].mean_log_prob
-    assert got.loc[-1].mean_log_prob < real.median()
-    assert real.median() > -np.log(2025)
-    assert np.isclose(got.log_prob / got.n_tokens, got.mean_log_prob).all()
-    rows = pseudo_likelihood(odd).collect()
-    assert len(rows) == len(odd_rows) and all(r["mean_log_prob"] is None for r in rows if not r["n_tokens"])
-    assert pseudo_likelihood(empty).count() == 0
-
-
-def test_lm_spells_rare_words_and_grows():
-    vocabulary = {b"the": 0, b"of": 1}
-    ids, off = tokens_of([b"The abc of", None, b"xbc"], vocabulary)
-    assert ids.tolist() == [0, 2 + 97, 258 + 98, 258 + 99, 1, 2 + 120, 258 + 98, 258 + 99] and off.tolist() == [0, 5, 5, 8]
-    for size in (size_of(vocabulary), 2025, 3000):
-        net = Network.start(size)
-        every = log_probs(net, np.full((size, 4), size - 1), np.arange(size))
-        assert np.isclose(np.exp(every).sum(), 1, atol=1e-3)
-
-
-def test_lm_tells_rare_words_apart(spark):
-    # two words of one length and last byte that are outside the vocabulary, in the same place
-    common = " ".join(f"w{i} w{i}" for i in range(KNOWN))
-    docs = spark.createDataFrame([(0, common), (1, "w1 abcdez w2"), (2, "w1 qxjkvz w2")], "doc_id bigint, text string")
-    got = {r["doc_id"]: r["log_prob"] for r in pseudo_likelihood(docs, keep=["doc_id"]).collect()}
-    assert abs(got[1] - got[2]) > 1e-3
-    # words that are common enough all count, however many there are
-    many = spark.createDataFrame([(" ".join(f"v{i}" for i in range(KNOWN + 500)),)] * 8, "text string")
-    assert len(vocabulary_of(many, "text")) == KNOWN + 500
-
-
-def test_lm_trains_on_every_position(spark):
-    docs = spark.createDataFrame([("a b",), ("c",), ("a b c d",), (None,)] * 30, "text string")
-    vocabulary = vocabulary_of(docs, "text")
-    net, start = train(docs, "text", vocabulary), Network.start(size_of(vocabulary))
-    assert not np.allclose(net.vector(), start.vector())
-    # every one of the words stands at a place that trains
-    ids, off = tokens_of([b"a b c d"], vocabulary)
-    near = context(ids, off, size_of(vocabulary) - 1)
-    assert (log_probs(net, near, ids) > log_probs(start, near, ids)).all()
-
-
 def test_long_conversations_are_parsed_whole(spark):
     # unmarked rows over many segments, and a turn number that repeats, against one transcript each
     rng = random.Random(3)
