@@ -14,10 +14,11 @@ from relflow.llm.neardup import near_duplicates
 from relflow.llm.pieces import encode_pieces
 from relflow.llm.quality import quality_scores
 from relflow.llm.rules import quality_rules
-from relflow.llm.secrets import secret_scan
+from relflow.llm.secrets import scan_blobs, secret_scan
 from relflow.llm.sql import SQL
 from relflow.llm.tokencount import token_counts
 from relflow.llm.toxicity import toxicity_scores
+from relflow.sources.scratch import scratch
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -60,7 +61,10 @@ def op8_token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, d: str) -> DataFrame:
-    return secret_scan(table(spark, d, "documents"))
+    docs, ledger = table(spark, d, "documents"), scratch(spark, "ledger")
+    # a second pass over the same ledger finds every blob known and scans nothing
+    scan_blobs(docs, ledger)
+    return secret_scan(docs, ledger=ledger)
 
 
 def op10_chat_formatting(spark: SparkSession, d: str) -> DataFrame:

@@ -1,11 +1,14 @@
 import hashlib
+import random
 import re
+import time
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from relflow.llm.queries import op9_secret_scan
-from relflow.llm.secrets import redact, scan_blobs, secret_scan
+from relflow.llm.secrets import BASE, RULES, might_be, redact, scan_blobs, secret_scan, version_of
 from relflow.sources.scratch import scratch
 
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -52,8 +55,56 @@ def test_ledger_is_incremental(spark):
     b = a.unionByName(spark.createDataFrame([(4, "new")], "doc_id bigint, text string"))
     assert scan_blobs(b, book).count() == 3
     assert first <= set(spark.read.parquet(book).inputFiles())
-    assert scan_blobs(b, book, version="2").count() == 3
-    assert spark.read.parquet(book).count() == 6
+    # other rules are another version: all blobs are scanned anew, and no finding of theirs is lost
+    jwt = spark.createDataFrame([(5, "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK token=abcdefghijklmno")], "doc_id bigint, text string")
+    own = scratch(spark, "ledger")
+    assert "jwt" not in secret_scan(jwt, ledger=own, rules=BASE).first()["spans"]
+    assert [x.split(":")[0] for x in secret_scan(jwt, ledger=own).first()["spans"].split(",")] == ["jwt", "assign"]
+    assert len({version_of(r) for r in (BASE, RULES, RULES[::-1], (*BASE[:2], replace(BASE[2], least=17)))}) == 4
+    # two runs at once may both append a blob; its documents stay single
+    spark.read.parquet(own).write.mode("append").parquet(own + "-twice")
+    spark.read.parquet(own).write.mode("append").parquet(own + "-twice")
+    assert secret_scan(jwt, ledger=own + "-twice").count() == 1
+
+
+def test_a_long_text_of_many_matches_takes_linear_time(spark):
+    rng = random.Random(7)
+    long = " ".join(rng.choice(["token=", "x", "\U0001f600 "]) + "".join(rng.choices("0123456789abcdef", k=rng.randrange(12, 20))) for _ in range(100_000))
+    df = spark.createDataFrame([(1, long), (2, "token=abcdefghijklmno"), (3, "clean")], "doc_id bigint, text string")
+    began = time.time()
+    got = {r["doc_id"]: tuple(r)[1:5] for r in secret_scan(df).collect()}
+    assert got == {1: brute(long), 2: brute("token=abcdefghijklmno"), 3: brute("clean")}
+    clean = {r["doc_id"]: r["text"] for r in redact(df, rules=BASE).collect()}
+    assert clean[1] == plain_redaction(long) and clean[3] == "clean"
+    assert time.time() - began < 60
+
+
+def plain_redaction(text):
+    spans = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    spans += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    spans += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    out, at = "", 0
+    parts = []
+    for a, _, kind, b in sorted(spans):
+        if a >= at:
+            parts.append(text[at:a] + f"[{kind}]")
+        at = max(at, b)
+    return out.join(parts) + text[at:]
+
+
+def test_bytes_that_are_not_utf8(spark):
+    df = spark.sql("select 1L as doc_id, cast(unhex('ff') || cast(' token=abcdefghijklmno ' as binary) || unhex('c328') as string) as text")
+    assert secret_scan(df).first()["n_assign"] == 1
+    assert "[assign]" in redact(df).first()["text"]
+
+
+def test_the_bitmap_misses_no_key(spark):
+    df = spark.range(5_000).select(F.xxhash64("id").alias("key"), "id")
+    keys = df.where("id % 50 = 0").unionByName(spark.range(1).select(F.lit(0).cast("bigint").alias("key"), (F.col("id") - 1).alias("id"))).select("key")
+    out = might_be(df.unionByName(spark.sql("select 0L as key, -1L as id")), F.col("key"), keys, "hit")
+    assert out.where("hit and (id % 50 = 0 or id = -1)").count() == 101
+    assert out.where("hit").count() < 101 + 60 and out.columns == ["key", "id", "hit"]
+    assert might_be(df, F.col("key"), keys.limit(0), "hit").where("hit").count() == 0
 
 
 def test_redaction(spark, odd, odd_rows):
