@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relflow.sources.scratch import written
+from relflow.sources.scratch import workspace, written
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -15,14 +17,19 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     between these; with ids in random order, as digests are, the graph shrinks
     by a constant factor.  Each round is written, so a lost executor costs one.
     """
-    left, maps = written(_proper(edges), name), []
+    with workspace(edges.sparkSession, name) as keep:
+        return written(_components(edges, keep), name)
+
+
+def _components(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    left, maps = keep(_proper(edges), "edges"), []
     while left.limit(1).count():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("c"))
-        least = written(least, name)
+        least = keep(least, "least")
         maps.append(least)
         moved = left.join(least.select(F.col("v").alias("a"), F.col("c").alias("x")), "a").join(least.select(F.col("v").alias("b"), F.col("c").alias("y")), "b")
-        left = written(_proper(moved.select(F.col("x").alias("a"), F.col("y").alias("b"))), name)
+        left = keep(_proper(moved.select(F.col("x").alias("a"), F.col("y").alias("b"))), "edges")
     if not maps:
         return left.select(F.col("a").alias("v"), F.col("b").alias("c"))
     out = maps[-1]
@@ -30,7 +37,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         # a vertex whose image has no edge left is its own component's name
         step = m.select("v", F.col("c").alias("via")).join(out.select(F.col("v").alias("via"), F.col("c").alias("end")), "via", "left")
         out = step.select("v", F.coalesce("end", "via").alias("c"))
-    return written(out, name)
+    return out
 
 
 def _proper(edges: DataFrame) -> DataFrame:

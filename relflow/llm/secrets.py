@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from relflow.functions.lambdas import quoted
+from relflow.llm.bitmaps import might_be
 from relflow.sources.scratch import scratch, written
 
 
@@ -53,8 +54,6 @@ MORE = (
 )
 RULES = BASE + MORE
 
-#: Bits of the bitmap that tells wanted texts: so many for each of them, and no fewer or more than these (8 KB, 32 MB).
-BITS_PER_KEY, FEWEST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 #: Code points of the pieces in which a text is cut.
 PIECE = 4_096
 
@@ -106,24 +105,6 @@ def _exists(df: DataFrame, path: str) -> bool:
     return p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).exists(p)
 
 
-def might_be(df: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
-    """``df`` with a column ``name`` that is true where ``key`` is a ``key`` of ``keys``, and seldom elsewhere.
-
-    Keys are marked in a bitmap of BITS_PER_KEY bits each, of MOST_BITS at the most,
-    which is broadcast; with many more keys it is true for all, which costs time only.
-    """
-    n = keys.count() * BITS_PER_KEY
-    bits = min(MOST_BITS, max(FEWEST_BITS, 1 << max(n - 1, 1).bit_length()))
-    place = lambda k: F.pmod(k, F.lit(bits)) + 1
-    bucket, at = (lambda p, f=f: F.call_function(f, p) for f in ("bitmap_bucket_number", "bitmap_bit_position"))
-    marks = keys.groupBy(bucket(place(F.col("key"))).alias("__bucket")).agg(F.call_function("bitmap_construct_agg", at(place(F.col("key")))).alias("__bits"))
-    out = df.withColumn("__place", place(key)).withColumn("__bucket", bucket(F.col("__place"))).join(F.broadcast(marks), "__bucket", "left")
-    p = at(F.col("__place"))
-    byte = F.conv(F.hex(F.substring("__bits", (F.floor(p / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    bit = F.shiftright(byte, 0).bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (p % 8 + 1).cast("int"))) != 0
-    return out.withColumn(name, F.coalesce(bit, F.lit(False))).drop("__place", "__bucket", "__bits")
-
-
 def scan_blobs(docs: DataFrame, ledger: str, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Scans the blobs of ``docs`` that the ledger lacks under the version of ``rules``, and returns that version's ledger.
 
@@ -177,7 +158,8 @@ def secret_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", led
     base = F.filter("findings", lambda s: s["kind"].isin(ours))
     count = lambda kind: F.size(F.filter("findings", lambda s: s["kind"] == kind)).cast("bigint")
     digests = book.select("blob", *[count(k).alias(f"n_{k}") for k in ours], F.sha2(_written(base).cast("binary"), 256).alias("base_sha256"), _written(F.col("findings")).alias("spans"))
-    return paths.join(digests, "blob").drop("blob")
+    # a join of two plain exchanges, so that Spark can split a blob of very many paths
+    return paths.join(written(digests, "digests"), "blob").drop("blob")
 
 
 def _between(pieces: Column, a: Column, b: Column) -> Column:
@@ -205,7 +187,7 @@ def redact(docs: DataFrame, text: str = "text", mark: Callable[[Column], Column]
     opens = F.col("x.start") >= F.col("reach")
     regions = spans.withColumn("region", F.sum(opens.cast("int")).over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     regions = regions.groupBy("blob", "region").agg(F.min("x.start").alias("start"), F.min("reach").alias("after"), F.min(F.struct("x.start", "x.rank", "x.kind"))["kind"].alias("kind"), F.max("x.end").alias("end"))
-    found = regions.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "after", "kind", "end"))).alias("found"))
+    found = written(regions.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "after", "kind", "end"))).alias("found")), "regions")
     # columns by number, so that none has the name of one that is added
     numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     where = docs.columns.index(text)

@@ -7,8 +7,9 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from relflow.llm.bitmaps import might_be
 from relflow.llm.queries import op9_secret_scan
-from relflow.llm.secrets import BASE, RULES, might_be, redact, scan_blobs, secret_scan, version_of
+from relflow.llm.secrets import BASE, RULES, redact, scan_blobs, secret_scan, version_of
 from relflow.sources.scratch import scratch
 
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
