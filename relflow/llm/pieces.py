@@ -178,7 +178,7 @@ def maker(path: str | None, with_ids: bool) -> Callable[[], Callable]:
         cache = cache_of(path or public_tokenizers.path("piece_bpe_32k.model"))
 
         def run(texts: list) -> dict:
-            chunks = [chunks_of((t or b"").decode()) for t in texts]
+            chunks = [chunks_of((t or b"").decode(errors="replace")) for t in texts]
             found, backs = cache([c for x in chunks for c in x])
             ids, counts, decoded, at = [], [], [], 0
             for x in chunks:
@@ -204,7 +204,8 @@ def encode_pieces(docs: DataFrame, text: str = "text", keep: list[str] | None =
     ``n_tokens``, ``ids_sha256`` (of decimal ids joined by commas) and
     ``decoded_sha256`` (UTF-8); with ``with_ids`` also ``ids`` and ``decoded``.
     ``model`` is a path on the workers; the default is the 32k public model.
-    Null and empty texts give no ids.  Repeated rows are encoded each; other
+    Null and empty texts give no ids.  Bytes that aren't UTF-8 are read as replacement
+    characters.  Repeated rows are encoded each; other
     columns stay, except those named as the results.  No shuffle.
     """
     fields = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")

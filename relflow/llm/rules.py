@@ -21,7 +21,6 @@ BOILERPLATE = (
 )
 _BOILER = re.compile("|".join(p.replace(" ", r"\s+") for p in BOILERPLATE).encode())
 _NAV = re.compile(rb"\s(?:\||>|\xc2\xbb|\xe2\x80\xba|\xc2\xb7|\xe2\x80\xa2)\s")
-_END = re.compile(rb"""[.!?:;\xe2\x80\xa6\xe3\x80\x82]["')\]\xbb\xe2\x80\x9d]*$""")
 
 
 @dataclass(frozen=True)
@@ -106,7 +105,7 @@ def maker(rules: Rules, with_text: bool) -> Callable[[], Callable]:
             repeats = per_text((np.cumsum(repeated[:-1]) > 0).astype(np.int64), off)
             cleaned = [clean(t, rules) for t in texts]
             spaces = [len(t) - len(t.translate(None, SPACES)) for t in texts]
-            points = [len(t.decode()) for t in texts]
+            points = [len(t.decode(errors="replace")) for t in texts]
             failed = (n_words < rules.min_words) | (100 * repeats > rules.max_repeat_percent * n_words)
             lost = np.array([x[1] for x in cleaned], np.int64)
             out = {
@@ -120,7 +119,7 @@ def maker(rules: Rules, with_text: bool) -> Callable[[], Callable]:
                 "kept": ~failed & (100 * lost <= rules.max_lost_percent * n_words),
             }
             if with_text:
-                out["clean_text"] = [x[0].decode() for x in cleaned]
+                out["clean_text"] = [x[0].decode(errors="replace") for x in cleaned]
             return out
 
         return run
@@ -138,7 +137,8 @@ def quality_rules(docs: DataFrame, text: str = "text", keep: list[str] | None =
     with a word that equals an earlier one is a duplicate (these lines are
     counted, not removed).  ``kept`` is false if the base test fails (under 20
     words, or over 30 % repeats) or failing lines hold over half of the words.
-    Null counts as empty: no words, not kept.  Rows with one id are judged each
+    Null counts as empty: no words, not kept.  Bytes that aren't UTF-8 count as the
+    replacement characters that they are read as.  Very long texts are judged whole.  Rows with one id are judged each
     for itself; other columns stay as they are, except those named as the
     results.  An empty table gives an empty table.  No shuffle.
     """

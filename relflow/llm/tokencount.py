@@ -113,7 +113,7 @@ def maker(path: str, table: Callable[[], dict], limit: int) -> Callable[[], Call
 
         def run(texts: list) -> dict:
             texts = [t or b"" for t in texts]
-            split = [counts.pretokens(t.decode()) for t in texts]
+            split = [counts.pretokens(t.decode(errors="replace")) for t in texts]
             rest = counts.lookup(frequent, [p for x, _ in split for p in x])
             both = _Tiers(frequent, rest)
             n = np.fromiter((sum(map(both.__getitem__, x)) + s for x, s in split), np.int64, len(texts))
@@ -141,9 +141,10 @@ def token_counts(docs: DataFrame, text: str = "text", keep: list[str] | None = N
 
     Counts are those of the tokenizers library without added special tokens;
     special strings in a text count as one token.  ``tokenizer`` is a path to a
-    byte-level vocabulary.  Null counts as empty: 0 bytes, 0 tokens.  Repeated
-    rows are counted each; other columns stay, except those named as the
-    results.  No shuffle.
+    byte-level vocabulary.  Null counts as empty: 0 bytes, 0 tokens.  Bytes that
+    aren't UTF-8 are read as replacement characters, but counted as they are.
+    Repeated rows are counted each; other columns stay, except those named as the
+    results.  Only sketches of bounded size are shuffled, no text and no count.
     """
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     shared = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, text, path))
