@@ -41,9 +41,10 @@ def group_by(rel: Relation | DataFrame, key: Callable, fold: Fold | FoldFn | Non
     if fold is not None and (spec := fold.top_spec()) is not None:
         return _group_top(rel, key, fold, spec)
     keyed = rel.df.select("*", as_column(key(rel.row)).alias("__key"))
-    keyed = keyed.repartition(parallel, "__key") if parallel else keyed
     out = fold.compile(rel.row).alias(VALUE) if fold else Fold().compile(rel.row).alias("values")
-    return Relation(keyed.groupBy("__key").agg(out).withColumnRenamed("__key", "key"))
+    grouped = keyed.groupBy("__key").agg(out).withColumnRenamed("__key", "key")
+    # rows are folded where they are first, and only the groups are dealt anew
+    return Relation(grouped.repartition(parallel, "key") if parallel else grouped)
 
 
 def _group_top(rel: Relation, key: Callable | None, fold: Fold, spec: tuple) -> Relation:
@@ -147,7 +148,9 @@ def reduce_relation(rel: Relation | DataFrame, f: Callable, *initial: Any, retur
         if some:
             yield pa.RecordBatch.from_pylist([{VALUE: acc[0]}], arrow)
 
-    return Relation(rel.df.coalesce(1).mapInArrow(run, schema))
+    # a shuffle, so that what comes before the one task stays parallel; the order of partitions is kept
+    placed = rel.df.withColumn("__at", F.monotonically_increasing_id()).repartition(1).sortWithinPartitions("__at").drop("__at")
+    return Relation(placed.mapInArrow(run, schema))
 
 
 def _type_of(df: DataFrame, ddl: str) -> T.DataType:
@@ -175,7 +178,7 @@ def _opaque_fold(rel: Relation, f: FoldFn, key: Callable | None) -> Relation:
         for batch in batches:
             groups: dict = {}
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                groups.setdefault(pickle.dumps(k), (k, []))[1].append(x)
+                groups.setdefault(k if isinstance(k, (str, int, bytes)) else pickle.dumps(k), (k, []))[1].append(x)
             for h, (k, xs) in groups.items():
                 acc = held[h][1] if h in held else f.combine()
                 for x in f.pre(xs):

@@ -24,11 +24,13 @@ def distinct(rel: Relation | DataFrame, partition_by: Callable | None = None, pa
     """Unique rows.  ``partition_by(n, row)`` gives the partition of a row, of ``parallel`` ones."""
     rel = relation(rel)
     if partition_by is None:
-        return Relation(rel.df.repartition(parallel, *[F.col(quoted(c)) for c in rel.df.columns]).distinct() if parallel else rel.df.distinct())
+        # rows meet where they are first, and only the unique ones are dealt anew
+        return Relation(rel.df.distinct().repartition(parallel, *[F.col(quoted(c)) for c in rel.df.columns]) if parallel else rel.df.distinct())
     assert_arity(partition_by, 2, "partition_by")
     n = parallel or int(rel.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = F.pmod(as_column(partition_by(F.lit(n), rel.row)), F.lit(n)).cast("int")
-    return Relation(rel.df.repartitionById(n, part).dropDuplicates())
+    unique = Relation(rel.df.dropDuplicates())
+    part = F.pmod(as_column(partition_by(F.lit(n), unique.row)), F.lit(n)).cast("int")
+    return Relation(unique.df.repartitionById(n, part))
 
 
 def concat(*rels: Relation | DataFrame | None) -> Relation:

@@ -87,9 +87,11 @@ def _parse(lines: DataFrame, kind: T.StructType, f: Callable) -> DataFrame:
 def load_json(spark: SparkSession, location: str, schema: str | T.StructType | None = None, key_fn: Callable[[str], str] | None = None, value_fn: Callable | None = None) -> Relation:
     """One JSON value for each line: columns by the schema, else a variant ``value``.
 
-    ``key_fn`` renames columns, ``value_fn(name, column)`` maps them.
+    ``key_fn`` renames columns, ``value_fn(name, column)`` maps them; both need a schema.
     """
     if schema is None:
+        if key_fn or value_fn:
+            raise ValueError("key_fn and value_fn need a schema: a variant has no columns")
         return Relation(_lines(spark, location).select(F.parse_json(VALUE).alias(VALUE)))
     df = spark.read.option("recursiveFileLookup", "true").schema(schema).json(location)
     return Relation(df.select(*[(value_fn(c, F.col(c)) if value_fn else F.col(c)).alias(key_fn(c) if key_fn else c) for c in df.columns]))
