@@ -2,27 +2,51 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relflow.sources.scratch import workspace, written
 
+#: Edges, of some dozen bytes each, that one task joins at the most.
+FEW = 100_000
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+
+def components(edges: DataFrame, name: str = "components", into: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
     """(v, c) for each vertex of ``edges`` (a, b): c is the same for connected vertices.
 
     Each round maps every vertex to its least neighbour and the edges to edges
     between these; with ids in random order, as digests are, the graph shrinks
     by a constant factor.  Each round is written, so a lost executor costs one.
+    FEW edges or less, a bounded size that is checked, are joined by one task.
     """
     with workspace(edges.sparkSession, name) as keep:
-        return written(_components(edges, keep), name)
+        left = keep(_proper(edges), "edges")
+        few = left.count() <= FEW
+        return into(left.coalesce(1).mapInArrow(_joined, "v binary, c binary") if few else _components(left, keep), name)
+
+
+def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, c) of all edges of the task, by disjoint sets."""
+    up: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = y
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.binary()), pa.array([root(x) for x in list(up)], pa.binary())], names=["v", "c"])
 
 
-def _components(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    left, maps = keep(_proper(edges), "edges"), []
+def _components(left: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    maps = []
     while left.limit(1).count():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("c"))
@@ -30,8 +54,6 @@ def _components(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -
         maps.append(least)
         moved = left.join(least.select(F.col("v").alias("a"), F.col("c").alias("x")), "a").join(least.select(F.col("v").alias("b"), F.col("c").alias("y")), "b")
         left = keep(_proper(moved.select(F.col("x").alias("a"), F.col("y").alias("b"))), "edges")
-    if not maps:
-        return left.select(F.col("a").alias("v"), F.col("b").alias("c"))
     out = maps[-1]
     for m in reversed(maps[:-1]):
         # a vertex whose image has no edge left is its own component's name

@@ -3,16 +3,21 @@
 A document is its set of 5-word shingles; documents with equal sets are one
 class.  Each class has minwise tokens.  In each of several independent trees a
 class descends along the tokens that its node selects, so similar classes meet
-in small nodes.  Nodes that are still large branch on, unless their members
-resemble each other anyway.  Small nodes are compared exhaustively on the
-tokens, which gives groups of candidates; inside a group full sets decide,
-again exhaustively, in blocks of a few dozen classes.
+in small nodes.  Nodes that are still large branch on.  Where most members of a
+large node resemble its first one, they are held against that one on full sets,
+and a node whose members are all linked by then needs no more branches.
+
+Small nodes are compared exhaustively on the tokens, which gives groups of
+candidates; inside a group full sets decide, again exhaustively.  Groups that
+are chained to one another are taken together only while they come to a small
+node's size, so a long chain is checked node by node and not all against all.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,27 +25,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relflow.functions.lambdas import quoted
-from relflow.llm.batches import WordTable, annotate, flat, grams, hash_words, mix, odd, offsets, per_text, starts
+from relflow.llm.batches import WordTable, annotate, flat, grams, hash_words, mix, odd, offsets, slices, starts
+from relflow.llm.bitmaps import might_be
 from relflow.llm.components import components
-from relflow.sources.scratch import written
+from relflow.sources.scratch import workspace, written
 
 SHINGLE, PERCENT = 5, 75
 #: Minwise tokens of a class (16 bits each), and how many of them, cut to 8 bits, nodes compare.
 TOKENS, COMPARED = 128, 64
 #: Trees, and their branching at first: a pair at the threshold misses all of them in 5 of 10 million cases.
 TREES, DEPTH, CHOICES = 6, 2, 2
-#: Classes that a node may hold when it is compared, and the levels after which a large one is taken as a group.
+#: Classes that a node may hold when it is compared, and the levels after which a large one is checked as it is.
 NODE, LEVELS = 200, 12
-#: Of 100 large nodes' branches, this many have a second choice.
-SECOND = 60
+#: The levels on which families are looked for: they take several jobs, and large nodes shrink between them.
+FAMILIES = (0, 3, 6, 9, 12)
 #: Estimated similarity from which two classes are candidates: 5.5 standard errors under the threshold.
 LIKELY = 0.45
-#: Mean estimated similarity to one member from which a large node is a group as it is.
-COHERENT = 0.35
-#: Classes, and shingles, in one block of a group that is checked on full sets, and classes of a group that is checked so.
-BLOCK, BLOCK_SHINGLES, GROUP = 60, 30_000, 20_000
-#: Bits of the filter that tells which texts' sets are needed: 1 MB.
-FILTER_BITS = 1 << 23
+#: Estimated similarity from which a member of a large node is held against its first one, and the part of a node that
+#: must have it, or that a family must fill.
+HEAD, COHERENT = 0.62, 0.5
+#: Classes, and shingles, in one block of a group that is checked on full sets.
+BLOCK, BLOCK_SHINGLES = 120, 60_000
 
 _U = np.uint64
 
@@ -67,6 +72,11 @@ def shingle_sets(texts: list, table: WordTable) -> list[np.ndarray]:
     return out
 
 
+def digest_of(shingles: np.ndarray) -> bytes:
+    """The name of the class of a set."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def minwise(sets: list[np.ndarray]) -> np.ndarray:
     """TOKENS 16-bit minwise values of each set; sets must not be empty."""
     off = offsets(sets)
@@ -90,7 +100,7 @@ def sketch_maker() -> Callable:
             part = some[lo : lo + 512]
             for i, row in zip(part, minwise([sets[i] for i in part]), strict=True):
                 tokens[i] = row.tobytes()
-                digests[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
+                digests[i] = digest_of(sets[i])
         return {"n_shingles": [len(s) for s in sets], "digest": digests, "tokens": tokens}
 
     return run
@@ -117,19 +127,18 @@ def paths_maker(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def branch_maker(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Children (node, digest) of rows (node, digest, tokens): one token that the node chooses, often a second."""
+    """Children (node, digest) of rows (node, digest, tokens): CHOICES tokens that the node chooses."""
     for batch in batches:
         if not batch.num_rows:
             continue
         node = batch.column(0).to_numpy(zero_copy_only=False).view(_U)
         tokens = _matrix(batch.column(2), np.uint16, TOKENS)
         rows = np.arange(len(node))
-        for c in range(2):
+        for c in range(CHOICES):
             chosen = mix(node * odd(7, 1)[0] + _U(c + 1))
             value = tokens[rows, (chosen % _U(TOKENS)).astype(np.int64)].astype(_U)
-            keep = rows if c == 0 else rows[(chosen >> _U(32)) % _U(100) < _U(SECOND)]
-            child = mix(chosen ^ (value * odd(8, 1)[0] + _U(c)))[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column(1).take(pa.array(keep))], names=["node", "digest"])
+            child = mix(chosen ^ (value * odd(8, 1)[0] + _U(c)))
+            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column(1)], names=["node", "digest"])
 
 
 def _matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:
@@ -156,23 +165,27 @@ class Union:
             self.up[max(a, b)] = min(a, b)
             self.parts -= 1
 
+    def groups(self) -> list[list[int]]:
+        """The members of all sets that have two or more."""
+        out: dict[int, list[int]] = {}
+        for x in range(len(self.up)):
+            out.setdefault(self.root(x), []).append(x)
+        return [g for g in out.values() if len(g) > 1]
+
     def stars(self) -> list[tuple[int, int]]:
         """(root, member) of all that aren't alone."""
         return [(r, x) for x in range(len(self.up)) if (r := self.root(x)) != x]
 
 
-def by_run(f: Callable[[pa.Table], list[tuple[int, int]]], id_column: str) -> Callable:
-    """Applies ``f`` to each run of equal first columns of sorted rows, and yields its pairs of ids as edges."""
+def by_run(f: Callable[[pa.Table], pa.RecordBatch | None]) -> Callable:
+    """Applies ``f`` to each run of two or more rows with equal first columns."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if held and sum(b.num_rows for b in held) > 1:
-                rows = pa.Table.from_batches(held)
-                if pairs := f(rows):
-                    ids = rows.column(id_column).to_pylist()
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in pairs], pa.binary()), pa.array([ids[b] for _, b in pairs], pa.binary())], names=["a", "b"])
+            if held and sum(b.num_rows for b in held) > 1 and (out := f(pa.Table.from_batches(held))) is not None:
+                yield out
             held.clear()
 
         key = None
@@ -191,23 +204,47 @@ def by_run(f: Callable[[pa.Table], list[tuple[int, int]]], id_column: str) -> Ca
     return run
 
 
-def likely_pairs(rows: pa.Table) -> list[tuple[int, int]]:
-    """Stars of the classes of one node that their tokens hold similar; sizes too far apart are not."""
+def _binaries(names: list[str], *columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=names)
+
+
+def likely_groups(rows: pa.Table) -> pa.RecordBatch | None:
+    """(group, head, digest): the members of each set of classes of one node that their tokens hold similar, pair by pair.
+
+    Classes whose sizes are too far apart aren't similar.  A set whose members
+    have one label, that is are linked already, is left out.  A group is named by
+    its members, so that it has one name in all nodes where it is found.
+    """
     n = rows.column("n").to_numpy()
     low = _matrix(rows.column("low").combine_chunks(), np.uint8, COMPARED)
-    groups = Union(len(n))
+    sets = Union(len(n))
     for i in range(1, len(n)):
-        if groups.parts == 1:
+        if sets.parts == 1:
             break
         alike = (low[:i] == low[i]).sum(1) >= LIKELY * COMPARED
         alike &= 100 * np.minimum(n[:i], n[i]) >= PERCENT * np.maximum(n[:i], n[i])
         for j in np.flatnonzero(alike).tolist():
-            groups.join(j, i)
-    return groups.stars()
+            sets.join(j, i)
+    labels = rows.column("label").to_pylist()
+    digests, groups, heads, members = rows.column("digest").to_pylist(), [], [], []
+    for g in sets.groups():
+        if labels[g[0]] is None or any(labels[i] != labels[g[0]] for i in g):
+            mine = sorted(digests[i] for i in g)
+            groups += [hashlib.blake2b(b"".join(mine), digest_size=16).digest()] * len(mine)
+            heads += [mine[0]] * len(mine)
+            members += mine
+    return _binaries(["group", "head", "digest"], groups, heads, members) if groups else None
+
+
+def equal_edges(rows: pa.Table) -> pa.RecordBatch | None:
+    """Edges (a, b) that connect the classes of one cell whose full sets reach the threshold, pair by pair."""
+    ids = rows.column("digest").to_pylist()
+    stars = equal_pairs(rows)
+    return _binaries(["a", "b"], [ids[a] for a, _ in stars], [ids[b] for _, b in stars]) if stars else None
 
 
 def equal_pairs(rows: pa.Table) -> list[tuple[int, int]]:
-    """Stars of the classes of one block pair whose full sets reach the threshold."""
+    """Stars of the classes of one cell whose full sets reach the threshold."""
     sets = [np.frombuffer(x.as_py(), _U) for x in rows.column("shingles")]
     groups = Union(len(sets))
     if len(sets) == 2:
@@ -237,112 +274,159 @@ def equal_pairs(rows: pa.Table) -> list[tuple[int, int]]:
 EDGE = "a binary, b binary"
 
 
-def _in_runs(df: DataFrame, key: str, f: Callable, id_column: str = "digest") -> DataFrame:
-    """Edges of ``f`` over the rows of each key; keys hold few rows."""
-    return df.repartition(F.col(key)).sortWithinPartitions(key, id_column).mapInArrow(by_run(f, id_column), EDGE)
-
+def _in_runs(df: DataFrame, key: str, f: Callable, schema: str = EDGE) -> DataFrame:
+    """What ``f`` finds in the rows of each key; keys hold few rows."""
+    return df.repartition(F.col(key)).sortWithinPartitions(key, "digest").mapInArrow(by_run(f), schema)
 
-def branched(rows: DataFrame, classes: DataFrame, limit: int, link: bool) -> tuple[DataFrame, DataFrame | None]:
-    """Branches nodes of over ``limit`` classes until there are none.
 
-    Returns rows (node, digest) of nodes with 2..limit classes, and with ``link``
-    edges that join the members of large nodes that are coherent, or that LEVELS
-    rounds haven't split; without it such nodes are among the rows.
-    """
-    small, edges = None, None
-    for level in range(LEVELS + 1):
-        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"))
-        rows = written(rows.join(counts.where("size > 1"), "node"), "nodes")
-        here = rows.where(F.col("size") <= limit) if level < LEVELS or link else rows
-        small = here.select("node", "digest") if small is None else small.unionByName(here.select("node", "digest"))
-        large = rows.where(F.col("size") > limit).select("node", "digest")
-        if (level == LEVELS and not link) or not large.limit(1).count():
-            return small, edges
-        if link:
-            met = large.join(classes.select("digest", "low"), "digest")
-            first = met.groupBy("node").agg(F.min(F.struct("digest", "low")).alias("first"))
-            compared = written(met.join(first.select("node", F.col("first.digest").alias("head"), F.col("first.low").alias("head_low")), "node"), "heads")
-            likeness = annotate_pairs(compared)
-            whole = likeness.groupBy("node").agg(F.avg("like").alias("like")).where(F.lit(level == LEVELS) | (F.col("like") >= COHERENT)).select("node")
-            whole = written(whole, "coherent")
-            stars = compared.join(whole, "node", "left_semi").select(F.col("head").alias("a"), F.col("digest").alias("b"))
-            edges = stars if edges is None else edges.unionByName(stars)
-            large = large.join(whole, "node", "left_anti")
-        rows = large.join(classes.select("digest", "tokens"), "digest").select("node", "digest", "tokens").mapInArrow(branch_maker, "node bigint, digest binary")
-        rows = rows.distinct()
-    return small, edges
-
-
-def annotate_pairs(rows: DataFrame) -> DataFrame:
-    """(node, like): the part of compared tokens that a row shares with its node's head."""
+def with_likeness(rows: DataFrame) -> DataFrame:
+    """(node, digest, head, like): the part of compared tokens that a row shares with its node's head."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                same = (_matrix(b.column(1), np.uint8, COMPARED) == _matrix(b.column(2), np.uint8, COMPARED)).mean(1)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same)], names=["node", "like"])
-
-    return rows.select("node", "low", "head_low").mapInArrow(run, "node bigint, like double")
-
-
-def _filter_of(keys: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS bits in which each key (a 64-bit hash) has set one."""
-    bit = F.pmod(F.col("key"), F.lit(FILTER_BITS))
-    parts = keys.groupBy(F.call_function("bitmap_bucket_number", bit).alias("bucket")).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", bit)).alias("bits"))
-    out = np.zeros(FILTER_BITS + 65_536, bool)
-    for r in parts.collect():  # 4 KB each, 256 of them at most
-        bits = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
-        # bucket n holds positions (n - 1) * 32768 + 1 and on, bucket 0 the position 0
-        start = (r["bucket"] - 1) * 32_768 + 1
-        if start < 0:
-            out[0] = True
-        else:
-            out[start : start + len(bits)] |= bits.astype(bool)
-    return np.packbits(out)
+                same = (_matrix(b.column(3), np.uint8, COMPARED) == _matrix(b.column(4), np.uint8, COMPARED)).mean(1)
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(same)], names=["node", "digest", "head", "like"])
+
+    return rows.select("node", "digest", "head", "low", "head_low").mapInArrow(run, "node bigint, digest binary, head binary, like double")
 
 
 def full_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(digest, shingles) of the classes whose ``key``, the hash of one of their texts, is in ``wanted``."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(_filter_of(wanted))
-    t = F.col(quoted(text)).cast("string")
+    """(digest, shingles) of the classes whose ``key``, the hash of one of their texts, is in ``wanted``.
+
+    A bitmap of the keys, of bounded size, keeps most other texts from the workers.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, bits = WordTable(hash_words), np.unpackbits(shared.value)
+        table = WordTable(hash_words)
         for b in batches:
-            if not b.num_rows:
-                continue
-            hit = bits[np.mod(b.column(0).to_numpy(zero_copy_only=False), FILTER_BITS)].astype(bool)
-            texts = b.column(1).filter(pa.array(hit))
-            for lo in range(0, len(texts), 256):
-                sets = [s for s in shingle_sets(texts.slice(lo, 256).to_pylist(), table) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "shingles"])
+            for part in slices(b, 0):
+                sets = [s for s in shingle_sets(part.column(0).to_pylist(), table) if len(s)]
+                yield _binaries(["digest", "shingles"], [digest_of(s) for s in sets], [s.tobytes() for s in sets])
 
-    rows = docs.where(t.isNotNull()).select(F.xxhash64(t).alias("key"), t.cast("binary").alias("t"))
-    return rows.mapInArrow(run, "digest binary, shingles binary").groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    t = F.col(quoted(text)).cast("string")
+    rows = might_be(docs.where(t.isNotNull()).select(t.alias("t")), F.xxhash64("t"), wanted, "hit").where("hit")
+    return rows.select(F.col("t").cast("binary").alias("t")).mapInArrow(run, "digest binary, shingles binary").groupBy("digest").agg(F.first("shingles").alias("shingles"))
 
 
-def near_links(docs: DataFrame, classes: DataFrame, text: str) -> DataFrame:
+def linked(cells: DataFrame, docs: DataFrame, classes: DataFrame, text: str) -> DataFrame:
+    """Edges between the classes of each cell of (cell, digest), decided on full sets."""
+    keys = cells.select("digest").distinct().join(classes.select("digest", "key"), "digest").select("key")
+    return _in_runs(cells.join(full_sets(docs, text, keys), "digest").select("cell", "digest", "shingles"), "cell", equal_edges)
+
+
+def _dealt(members: DataFrame, by: str, classes: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``members`` (``by``, digest) with the number of their block, ``mine`` of ``blocks``: a block holds BLOCK classes or BLOCK_SHINGLES shingles."""
+    sized = members.join(classes.select("digest", "n"), "digest")
+    blocks = sized.groupBy(by).agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    # written, so that the join is one of two plain exchanges and Spark can split a hot group
+    return members.join(keep(blocks, "blocks"), by).withColumn("mine", F.pmod(F.xxhash64("digest", F.lit(9)), F.col("blocks")).cast("int"))
+
+
+def head_cells(pairs: DataFrame, classes: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Cells of (head, digest) pairs: each block of a head's members, and the head with them."""
+    dealt = _dealt(pairs, "head", classes, keep).select("head", "digest", F.xxhash64("head", "mine").alias("cell"))
+    return dealt.select("cell", "digest").unionByName(dealt.select("cell", F.col("head").alias("digest")).distinct())
+
+
+def family_cells(members: DataFrame, others: DataFrame, classes: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Cells of families (label, digest) and of the others that are held against them: each block of one with each of the other."""
+    ours, theirs = (_dealt(x, "label", classes, keep) for x in (members, others))
+    n = lambda x: keep(x.select("label", F.col("blocks").alias("opposite")).distinct(), "blocks")
+    i, j = (x.join(n(y), "label").select("label", "digest", "mine", F.explode(F.sequence(F.lit(0), F.col("opposite") - 1)).alias("other")) for x, y in ((ours, theirs), (theirs, ours)))
+    return i.select("digest", F.xxhash64("label", "mine", "other").alias("cell")).unionByName(j.select("digest", F.xxhash64("label", "other", "mine").alias("cell")))
+
+
+def group_cells(members: DataFrame, classes: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Cells of groups (node, digest): each pair of a group's blocks."""
+    dealt = _dealt(members, "node", classes, keep)
+    pairs = dealt.select("digest", "node", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return pairs.select("digest", F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"))
+
+
+def majorities(labelled: DataFrame) -> DataFrame:
+    """(node, family) of the nodes (node, digest, label) in which COHERENT of the members have one label."""
+    of = labelled.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("node")
+    most = of.agg(F.sum("n").alias("size"), F.max(F.when(F.col("label").isNotNull(), F.struct("n", "label"))).alias("most"))
+    return most.where(F.col("most.n") >= COHERENT * F.col("size")).select("node", F.col("most.label").alias("family"))
+
+
+def head_pairs(large: DataFrame, classes: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(head, digest): the first member of each node that most others resemble by their tokens, with those that do."""
+    met = large.join(classes.select("digest", "low"), "digest")
+    first = met.groupBy("node").agg(F.min(F.struct("digest", "low")).alias("first")).select("node", F.col("first.digest").alias("head"), F.col("first.low").alias("head_low"))
+    compared = keep(with_likeness(met.join(keep(first, "first"), "node")), "heads")
+    alike = F.col("like") >= HEAD
+    coherent = compared.groupBy("node").agg(F.avg(alike.cast("double")).alias("part")).where(F.col("part") >= COHERENT).select("node")
+    return compared.where(alike & (F.col("head") != F.col("digest"))).join(keep(coherent, "coherent"), "node", "left_semi").select("head", "digest").distinct()
+
+
+def near_links(docs: DataFrame, classes: DataFrame, text: str, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Edges (a, b) between classes that are linked: as many as it takes to connect them."""
     rows = classes.select("digest", "tokens").mapInArrow(paths_maker, "node bigint, digest binary").distinct()
-    small, edges = branched(rows, classes, NODE, link=True)
-    likely = _in_runs(small.join(classes.select("digest", "n", "low"), "digest").select("node", "digest", "n", "low"), "node", likely_pairs)
-    groups = components(likely if edges is None else likely.unionByName(edges), "candidates")
-    members = groups.select(F.xxhash64("c").alias("node"), F.col("v").alias("digest"))
-    sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("size"))
-    large = members.join(sizes.where(F.col("size") > GROUP).select("node"), "node", "left_semi")
-    if large.limit(1).count():
-        # such groups branch like the whole did, in trees of their own
-        trees = large.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(TREES * 2)), lambda i: F.xxhash64("node", i))).alias("node"), "digest")
-        parts, _ = branched(trees, classes, GROUP // 4, link=False)
-        members = members.join(sizes.where(F.col("size") > GROUP).select("node"), "node", "left_anti").unionByName(parts)
-    members = written(members.join(classes.select("digest", "n", "key"), "digest"), "members")
-    blocks = members.groupBy("node").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "node").withColumn("mine", F.pmod(F.xxhash64("digest", F.lit(9)), F.col("blocks")).cast("int"))
-    pairs = dealt.select("digest", "node", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = pairs.select("digest", F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"))
-    sets = full_sets(docs, text, members.select("key"))
-    return _in_runs(pairs.join(sets, "digest").select("cell", "digest", "shingles"), "cell", equal_pairs)
+    labels = keep(classes.select("digest", F.col("digest").alias("label")).limit(0), "labels")
+    none, links, small = labels.select("label", "digest"), [], []
+    pairs_done, others_done, whole = labels.select(F.col("label").alias("head"), "digest"), none, None
+
+    def learned(cells: DataFrame) -> DataFrame:
+        """The labels of all linked classes, those of ``cells`` among them."""
+        links.append(keep(linked(cells, docs, classes, text), "links"))
+        return components(reduce(DataFrame.unionByName, links), "labels", keep).select(F.col("v").alias("digest"), F.col("c").alias("label"))
+
+    for level in range(LEVELS + 1):
+        # what hot nodes are joined to is written first, so that Spark can split these joins
+        counts = keep(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "counts")
+        rows = keep(rows.join(counts, "node"), "nodes")
+        small.append(rows.where(F.col("size") <= NODE).select("node", "digest"))
+        large = rows.where(F.col("size") > NODE).select("node", "digest")
+        if not large.limit(1).count():
+            break
+        if level in FAMILIES:
+            # nodes that most members of one family fill have no need of a head
+            labelled, settled = large.withColumn("label", F.lit(None).cast("binary")), None
+            if links:
+                labelled = keep(large.join(labels, "digest", "left"), "labelled")
+                settled = keep(majorities(labelled), "settled")
+            pairs = head_pairs(large.join(settled, "node", "left_anti") if links else large, classes, keep)
+            pairs = keep(pairs.join(pairs_done, ["head", "digest"], "left_anti"), "pairs")
+            if pairs.limit(1).count():
+                pairs_done = pairs_done.unionByName(pairs)
+                labels = learned(head_cells(pairs, classes, keep))
+                labelled = keep(large.join(labels, "digest", "left"), "labelled")
+                settled = keep(majorities(labelled), "settled")
+            if settled is not None and settled.limit(1).count():
+                # of a node that a family fills only the others go on, once they are held against that family
+                rest = labelled.join(settled, "node").where(~F.coalesce(F.col("label") == F.col("family"), F.lit(False)))
+                rest = keep(rest.select("node", "digest", F.col("family").alias("label")), "rest")
+                others = keep(rest.select("label", "digest").distinct().join(others_done, ["label", "digest"], "left_anti"), "others")
+                if others.limit(1).count():
+                    others_done = others_done.unionByName(others)
+                    families = labels.join(others.select("label").distinct(), "label", "left_semi").select("label", "digest")
+                    labels = learned(family_cells(families, others, classes, keep))
+                sizes = keep(rest.groupBy("node").agg(F.count(F.lit(1)).alias("size")), "counts")
+                rest = keep(rest.select("node", "digest").join(sizes, "node"), "nodes")
+                small.append(rest.where(F.col("size") <= NODE).select("node", "digest"))
+                large = keep(large.join(settled.select("node"), "node", "left_anti").unionByName(rest.where(F.col("size") > NODE).select("node", "digest")), "large")
+                if not large.limit(1).count():
+                    break
+        if level == LEVELS:
+            whole = large
+            break
+        rows = large.join(classes.select("digest", "tokens"), "digest").select("node", "digest", "tokens").mapInArrow(branch_maker, "node bigint, digest binary").distinct()
+    rows = reduce(DataFrame.unionByName, small).join(classes.select("digest", "n", "low"), "digest")
+    found = keep(_in_runs(rows.join(labels, "digest", "left").select("node", "digest", "n", "low", "label"), "node", likely_groups, "group binary, head binary, digest binary").distinct(), "groups")
+    chains = components(found.select(F.col("head").alias("a"), F.col("digest").alias("b")), "candidates", keep)
+    sizes = chains.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
+    long = keep(sizes.where(F.col("size") > NODE).select("c"), "long")
+    members = chains.join(long, "c", "left_anti").select(F.xxhash64("c").alias("node"), F.col("v").alias("digest"))
+    if long.limit(1).count():
+        inside = chains.join(long, "c", "left_semi").select(F.col("v").alias("digest"))
+        members = members.unionByName(found.join(inside, "digest", "left_semi").select(F.xxhash64("group").alias("node"), "digest"))
+    if whole is not None:
+        members = members.unionByName(whole)
+    members = keep(members.distinct(), "members")
+    last = linked(group_cells(members, classes, keep), docs, classes, text)
+    return reduce(DataFrame.unionByName, [*links, last])
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: str | None = None, group: str | None = None) -> DataFrame:
@@ -366,11 +450,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = some.groupBy("digest").agg(F.min("key").alias("key"), F.min("id").alias("id"), F.min("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
     low = F.expr(f"unhex(array_join(transform(sequence(0, {COMPARED - 1}), i -> substring(hex(tokens), 4 * i + 1, 2)), ''))")
     classes = written(classes.withColumn("low", low), "classes")
-    groups = components(near_links(docs, classes, text), "links")
+    with workspace(docs.sparkSession, "links") as keep:
+        groups = components(near_links(docs, classes, text, keep), "links")
     # only classes with links are dealt by component, and its least id is looked up in a table of its own
-    linked = written(groups.select(F.col("v").alias("digest"), "c").join(classes.select("digest", "id"), "digest"), "linked")
-    least = written(linked.groupBy("c").agg(F.min("id").alias("component")), "least")
-    renamed = linked.select("digest", "c").join(least, "c").select("digest", "component", "c")
+    known = written(groups.select(F.col("v").alias("digest"), "c").join(classes.select("digest", "id"), "digest"), "linked")
+    least = written(known.groupBy("c").agg(F.min("id").alias("component")), "least")
+    renamed = known.select("digest", "c").join(least, "c").select("digest", "component", "c")
     of_class = written(classes.select("digest", "id").join(renamed, "digest", "left").select("digest", F.coalesce("component", "id").alias("component"), F.coalesce("c", "digest").alias("c")), "named")
     # a join of two plain exchanges, so that Spark can split a class of very many copies
     out = sketch.select("id", "key", "n_shingles", "digest").join(of_class, "digest", "left")

@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from relflow.llm import neardup
 from relflow.llm.components import components
@@ -65,7 +64,7 @@ def test_real_rows(spark, small):
 def test_families_near_the_threshold(spark, monkeypatch, tight):
     """``tight`` makes nodes, blocks and groups tiny, so that every way through the join is taken."""
     if tight:
-        for name, value in (("NODE", 6), ("BLOCK", 4), ("GROUP", 12), ("COHERENT", 0.6), ("LEVELS", 4)):
+        for name, value in (("NODE", 6), ("BLOCK", 4), ("COHERENT", 0.3), ("LEVELS", 4)):
             monkeypatch.setattr(neardup, name, value)
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(3000)]
@@ -91,7 +90,9 @@ def test_empty_table(spark, empty):
     assert near_duplicates(empty).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr("relflow.llm.components.FEW", few)
     edges = [(b"%03d" % (i * 37 % 200), b"%03d" % ((i + 1) * 37 % 200)) for i in range(0, 150)] + [(b"x", b"x"), (b"y", b"z"), (b"z", b"y")]
     got = {bytes(r["v"]): bytes(r["c"]) for r in components(spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in edges], "a binary, b binary")).collect()}
     assert len(got) == 153 and got[b"y"] == got[b"z"]
@@ -99,10 +100,46 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a binary, b binary")).count() == 0
 
 
-def test_filter_holds_every_key(spark):
-    keys = spark.range(0, 5000).select(F.xxhash64("id").alias("key")).unionByName(spark.createDataFrame([(0,), (neardup.FILTER_BITS,), (-1,)], "key bigint"))
-    import numpy as np
+def chained(rng, n, gap):
+    """Texts cut from one long row of words, each alike its neighbours but not near them; some with a near copy."""
+    words = [f"c{rng.randrange(10**9)}" for _ in range(gap * n + 120)]
+    texts = [" ".join(words[i * gap : i * gap + 120]) for i in range(n)]
+    copies = [t.rsplit(" ", 4)[0] + " some other few words" for t in texts[::7]]
+    return texts + copies
 
-    bits = np.unpackbits(neardup._filter_of(keys))
-    assert all(bits[r["key"] % neardup.FILTER_BITS] for r in keys.collect())
-    assert bits.sum() <= 5003
+
+def test_chains_are_checked_node_by_node(spark, monkeypatch):
+    """Neighbours at 0.70 make one chain of candidates, of which only the near copies are links."""
+    rng = random.Random(9)
+    texts = chained(rng, 600, 20)
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    want = brute(rows)
+    monkeypatch.setattr(neardup, "NODE", 24)
+    checked = []
+    cells = neardup.group_cells
+    monkeypatch.setattr(neardup, "group_cells", lambda members, *more: checked.append(members) or cells(members, *more))
+    sizes = []
+    linked = neardup.linked
+    monkeypatch.setattr(neardup, "linked", lambda cells, *more: sizes.append(cells.count()) or linked(cells, *more))
+    got = ran(spark, rows)
+    pairs = {r[0] for r in want if not r[3]}
+    assert len(pairs) > 60 and len(pairs & {r[0] for r in got if not r[3]}) >= 0.99 * len(pairs)
+    assert got == want
+    # every class stands in a bounded number of cells, however long the chain
+    assert sum(sizes) <= 2 * neardup.TREES * neardup.CHOICES**neardup.DEPTH * len(rows)
+
+
+def test_a_large_family_is_linked_through_its_first_member(spark, monkeypatch):
+    """Full sets are shipped about once a member, not once for each block of the family."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = family(rng, 400, 150, 4, vocabulary) + family(rng, 3, 80, 2, vocabulary)
+    rows = list(enumerate(texts))
+    for name, value in (("NODE", 50), ("BLOCK", 10)):
+        monkeypatch.setattr(neardup, name, value)
+    sizes = []
+    linked = neardup.linked
+    monkeypatch.setattr(neardup, "linked", lambda cells, *more: sizes.append(cells.count()) or linked(cells, *more))
+    assert ran(spark, rows) == brute(rows)
+    assert sum(sizes) < 10 * len(rows)
