@@ -326,7 +326,7 @@ _fold_query("fold_count_filtered", "SELECT count(*) FILTER (WHERE o_orderstatus
 _fold_query("fold_remove", "SELECT count(*) FILTER (WHERE NOT coalesce(nullif(o_orderstatus, 'O') = 'F', false)) AS value FROM orders", lambda: fold.remove(lambda r: F.nullif(r.o_orderstatus, F.lit("O")) == "F").count())
 _fold_query("fold_keep", "SELECT count(nullif(o_orderstatus, 'O')) AS value FROM orders", lambda: fold.keep(lambda r: F.nullif(r.o_orderstatus, F.lit("O"))).count())
 _fold_query("fold_mapcat_count", "SELECT sum(len(string_split(p_name, ' ')))::BIGINT AS value FROM part", lambda: fold.mapcat(lambda r: F.split(r.p_name, " ")).count(), "part")
-_fold_query("fold_mapcat_sum", "SELECT sum(n_nationkey * 2)::DOUBLE AS value FROM nation", lambda: fold.mapcat(lambda r: F.array(r.n_nationkey, r.n_nationkey)).sum(), "nation")
+_fold_query("fold_mapcat_sum", "SELECT sum(n_nationkey * 2)::BIGINT AS value FROM nation", lambda: fold.mapcat(lambda r: F.array(r.n_nationkey, r.n_nationkey)).sum(), "nation")
 _fold_query("fold_vec", "SELECT string_agg(coalesce(nullif(n_name, 'CHINA'), '~'), ',' ORDER BY nullif(n_name, 'CHINA') NULLS FIRST) AS value FROM nation", lambda: fold.map(lambda r: F.nullif(r.n_name, F.lit("CHINA"))).vec().sort(), "nation", _names)
 _fold_query("fold_distinct", "SELECT string_agg(s, ',' ORDER BY s) AS value FROM (SELECT DISTINCT o_orderstatus AS s FROM orders)", lambda: fold.map(lambda r: r.o_orderstatus).distinct().sort(), finish=_names)
 _fold_query("fold_distinct_nil", "SELECT string_agg(coalesce(s, '~'), ',' ORDER BY s NULLS FIRST) AS value FROM (SELECT DISTINCT nullif(o_orderstatus, 'O') AS s FROM orders)", lambda: fold.map(lambda r: F.nullif(r.o_orderstatus, F.lit("O"))).distinct().sort(), finish=_names)

@@ -17,8 +17,9 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relflow.functions.lambdas import as_column, assert_arity, unwrap
 
@@ -151,12 +152,16 @@ class Fold:
                 where = p if where is None else where & p
         return x, where
 
-    def compile(self, x: Any, where: Column | None = None) -> Column:
-        """The aggregate Column of this fold over elements ``x``, of the rows with ``where``."""
+    def compile(self, x: Any, where: Column | None = None, df: DataFrame | None = None) -> Column:
+        """The aggregate Column of this fold over elements ``x``, of the rows with ``where``.
+
+        ``df``, which has the columns of ``x``, tells the type of sums after a mapcat;
+        without it they are doubles.
+        """
         if self.terminal == "juxt":
-            return F.struct(*[f.compile(x, where).alias(n) for n, f in self.folds])
+            return F.struct(*[f.compile(x, where, df).alias(n) for n, f in self.folds])
         if any(kind == "mapcat" for kind, _ in self.steps):
-            return self._over_arrays(x, where)
+            return self._over_arrays(x, where, df)
         x, p = self.elements(x)
         p = p if where is None else where if p is None else where & p
         only = (lambda c: c) if p is None else (lambda c: F.when(p, c))
@@ -171,7 +176,7 @@ class Fold:
         wrapped = only(F.struct(unwrap(x).alias("x")))
         return self._finish(F.collect_set(wrapped) if self.terminal == "distinct" else F.collect_list(wrapped))
 
-    def _over_arrays(self, x: Any, where: Column | None) -> Column:
+    def _over_arrays(self, x: Any, where: Column | None, df: DataFrame | None) -> Column:
         """As compile, with a mapcat among the steps: each row gives an array of wrapped elements."""
         arr = F.array(F.struct(unwrap(x).alias("x")))
         for kind, f in self.steps:
@@ -180,9 +185,10 @@ class Fold:
         if self.terminal == "count":
             return F.coalesce(F.sum(F.size(arr)), F.lit(0)).cast("bigint")
         if self.terminal in ("sum", "avg"):
-            strict = F.transform(arr, lambda e: F.when(e["x"].isNull(), F.raise_error(F.lit(f"{self.terminal} of null"))).otherwise(e["x"].cast("double")))
-            total = F.sum(F.aggregate(strict, F.lit(0.0), lambda a, b: a + b))
-            return F.coalesce(total, F.lit(0.0)) if self.terminal == "sum" else total / F.nullif(F.sum(F.size(arr)), F.lit(0))
+            kind = _sum_type(df, arr)
+            strict = F.transform(arr, lambda e: F.when(e["x"].isNull(), F.raise_error(F.lit(f"{self.terminal} of null"))).otherwise(e["x"].cast(kind)))
+            total = F.sum(F.aggregate(strict, F.lit(0).cast(kind), lambda a, b: (a + b).cast(kind)))
+            return F.coalesce(total, F.lit(0).cast(kind)) if self.terminal == "sum" else total / F.nullif(F.sum(F.size(arr)), F.lit(0))
         if self.terminal == "min":
             best = F.transform(arr, lambda e: F.struct(as_column(self.key(e["x"])).alias("k"), e["x"].alias("x"))) if self.key else arr
             return (F.max(F.array_max(best)) if self.reverse else F.min(F.array_min(best)))["x"]
@@ -202,6 +208,14 @@ class Fold:
         return F.transform(wrapped, lambda e: e["x"])
 
 
+def _sum_type(df: DataFrame | None, arr: Column) -> str:
+    """The type in which wrapped elements of ``arr`` are summed: bigint for whole numbers, the widest decimal of a scale, else double."""
+    kind = df.select(arr).schema[0].dataType.elementType["x"].dataType if df is not None else None
+    if isinstance(kind, T.DecimalType):
+        return f"decimal(38,{kind.scale})"
+    return "bigint" if isinstance(kind, T.IntegralType) else "double"
+
+
 def _array_step(arr: Column, kind: str, f: Callable) -> Column:
     """One element step on an array of wrapped elements."""
     if kind == "map":

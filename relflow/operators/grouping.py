@@ -41,7 +41,7 @@ def group_by(rel: Relation | DataFrame, key: Callable, fold: Fold | FoldFn | Non
     if fold is not None and (spec := fold.top_spec()) is not None:
         return _group_top(rel, key, fold, spec)
     keyed = rel.df.select("*", as_column(key(rel.row)).alias("__key"))
-    out = fold.compile(rel.row).alias(VALUE) if fold else Fold().compile(rel.row).alias("values")
+    out = fold.compile(rel.row, None, rel.df).alias(VALUE) if fold else Fold().compile(rel.row).alias("values")
     grouped = keyed.groupBy("__key").agg(out).withColumnRenamed("__key", "key")
     # rows are folded where they are first, and only the groups are dealt anew
     return Relation(grouped.repartition(parallel, "key") if parallel else grouped)
@@ -63,7 +63,7 @@ def _group_top(rel: Relation, key: Callable | None, fold: Fold, spec: tuple) ->
     return Relation(out if key else out.select(VALUE))
 
 
-def _grouped(selects: list[Select], join_nils: bool, finish: Callable[[list, list], list[Column]]) -> DataFrame:
+def _grouped(selects: list[Select], join_nils: bool, finish: Callable[[list, list, DataFrame], list[Column]]) -> DataFrame:
     """The tagged union of the sides, grouped once by key (and by side, for null keys)."""
     parts, rows = [], []
     for i, s in enumerate(selects):
@@ -75,7 +75,7 @@ def _grouped(selects: list[Select], join_nils: bool, finish: Callable[[list, lis
         union = union.unionByName(p, allowMissingColumns=True)
     nil = F.lit(None).cast("int") if join_nils else F.when(F.col("key").isNull(), F.col("__tag"))
     tags = [F.col("__tag") == i for i in range(len(selects))]
-    return union.withColumn("__nil", nil).groupBy("key", "__nil").agg(*finish(rows, tags))
+    return union.withColumn("__nil", nil).groupBy("key", "__nil").agg(*finish(rows, tags, union))
 
 
 def cogroup(selects: list[Select], f: Callable | None = None, join_nils: bool = False) -> Relation:
@@ -88,11 +88,11 @@ def cogroup(selects: list[Select], f: Callable | None = None, join_nils: bool =
     if f is not None:
         assert_arity(f, 1 + len(selects), "cogroup function")
 
-    def finish(rows: list, tags: list) -> list[Column]:
+    def finish(rows: list, tags: list, df: DataFrame) -> list[Column]:
         out = []
         for i, (s, row, tag) in enumerate(zip(selects, rows, tags, strict=True)):
             n = F.count(F.when(tag, F.lit(1)))
-            out += [n.alias(f"__n{i}"), (s.fold.compile(row, tag) if s.fold else F.when(n > 0, Fold().compile(row, tag))).alias(f"__v{i}")]
+            out += [n.alias(f"__n{i}"), (s.fold.compile(row, tag, df) if s.fold else F.when(n > 0, Fold().compile(row, tag))).alias(f"__v{i}")]
         return out
 
     df = _grouped(selects, join_nils, finish)
@@ -112,7 +112,7 @@ def fold_relation(rel: Relation | DataFrame, f: Fold | FoldFn) -> Relation:
         return Relation(_opaque_fold(rel, f, None).df.select(VALUE))
     if f.top_spec() is not None:
         return _group_top(rel, None, f, f.top_spec())
-    df = rel.df.agg(F.count(F.lit(1)).alias("__n"), f.compile(rel.row).alias(VALUE))
+    df = rel.df.agg(F.count(F.lit(1)).alias("__n"), f.compile(rel.row, None, rel.df).alias(VALUE))
     return Relation(df.where(F.col("__n") > 0).select(VALUE))
 
 

@@ -326,3 +326,16 @@ def test_stateless_operators_on_a_stream(spark, tmp_path):
     out = s.filter(lambda v: v > 1).map(lambda v: v * 10)
     streaming.write_stream(out, "parquet", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [20, 30]
+
+
+def test_sums_after_a_mapcat_keep_their_type(spark):
+    n = rf.returning(spark, [(1, 2**53), (1, 1), (2, 5)], "k int, x bigint")
+    twice = fold.mapcat(lambda r: F.array(r.x))
+    assert rf.dump(rf.fold_relation(n, twice.sum())) == [2**53 + 6]
+    assert sorted(rf.dump(rf.group_by(n, lambda r: r.k, fold=fold.juxt(s=twice.sum(), c=twice.count())).map(lambda r: r.value["s"]))) == [5, 2**53 + 1]
+    both = rf.cogroup([rf.on(n, "k", fold=twice.sum()), rf.on(n, "k", fold=twice.avg())], lambda k, a, b: {"a": a, "b": b}).df.collect()
+    assert sorted((r["a"], r["b"]) for r in both) == [(5, 5.0), (2**53 + 1, (2**53 + 1) / 2)]
+    tenths = fold.mapcat(lambda r: F.array(r.x.cast("decimal(18,1)") / 10, F.lit(0).cast("decimal(18,1)")).cast("array<decimal(18,1)>")).sum()
+    assert [str(x) for x in rf.dump(rf.fold_relation(n.filter(lambda r: r.x < 9), tenths))] == ["0.6"]
+    halves = n.filter(lambda r: r.x < 9).map(lambda r: {"x": r.x.cast("double") / 2})
+    assert rf.dump(rf.fold_relation(halves, fold.mapcat(lambda r: F.array(r.x)).sum())) == [3.0]
