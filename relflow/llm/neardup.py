@@ -438,7 +438,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     empty texts) are linked with nothing and form components of their own.  Rows
     with a null id are kept, and have the component of their links, null without
     any.  Repeated rows have equal texts, so they are linked; those with the least
-    id are all kept.  Other columns are not read.  An empty table gives an empty one.
+    id are all kept.  Very long texts count whole; one's set is held by one task at a time.
+    Other columns are not read.  An empty table gives an empty one.
     ``key`` names a further column with the xxhash64 of the text, and ``group`` one
     that tells components apart even where their least ids clash; it is null
     without words.

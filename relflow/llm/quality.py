@@ -162,7 +162,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     ones, and from the text alone.  Null and empty texts get the score of the
     bias.  Without rows of both labels every score is the share of label 1
     (0.5 without any).  A null id is not held out.  Repeated rows are scored
-    each; other columns stay, except those named as the results.  No shuffle
+    each, very long texts whole (in the sample they count against its budget of
+    bytes); other columns stay, except those named as the results.  No shuffle
     of texts.
     """
     texts, y = training_texts(docs, labels, label, doc_id, text, per_label)

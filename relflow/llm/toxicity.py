@@ -295,7 +295,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     ``per_label`` rows of each label at most, never from held-out ones, and from
     the text alone.  Null, empty and hit-free texts get the score of the bias;
     without rows of both labels the lexicon is empty.  A null id is not held out.
-    Repeated rows are scored each; other columns stay, except those named as the
+    Repeated rows are scored each, very long texts whole (in the sample they count
+    against its budget of bytes); other columns stay, except those named as the
     results.  No shuffle of texts.
     """
     texts, y = training_texts(docs, labels, label, doc_id, text, per_label)
