@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -17,6 +17,8 @@ from relflow.functions.lambdas import quoted
 
 #: Bytes of text that a worker holds decoded at once; a longer text is a slice of its own.
 SLICE_BYTES = 2_000_000
+#: Bytes of an Arrow batch between Spark and a worker, which both hold outside of Spark's heap.
+BATCH_BYTES = 8_000_000
 #: Distinct words that a worker's table holds before it starts anew.
 TABLE_WORDS = 300_000
 
@@ -28,6 +30,13 @@ def text_of(df: DataFrame, text: str) -> Column:
     return F.col(quoted(text)).cast("string").cast("binary")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Limits the session's Arrow batches to BATCH_BYTES, unless it has a limit: else only rows are counted, and 10,000 long texts are one batch."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, None) is None:
+        spark.conf.set(limit, str(BATCH_BYTES))
+
+
 def annotate(df: DataFrame, text: str, make: Callable[[], Callable[[list], dict]], fields: str, keep: list[str] | None = None, with_columns: list[str] | None = None) -> DataFrame:
     """``df`` (its columns ``keep``, else all) with new columns computed from the text.
 
@@ -35,8 +44,8 @@ def annotate(df: DataFrame, text: str, make: Callable[[], Callable[[list], dict]
     or None) to a list for each field; ``with_columns`` are read as further lists.
     A kept column with the name of a new one gives way to it.  No shuffle.
     """
-    spark = df.sparkSession
-    new = T._parse_datatype_string(fields) if spark else None
+    bound_batches(df.sparkSession)
+    new = T._parse_datatype_string(fields)
     kept = [c for c in (df.columns if keep is None else keep) if c not in new.names]
     more = with_columns or []
     source = df.select(*[F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(kept)], text_of(df, text).alias("t"), *[F.col(quoted(c)).alias(f"w{i}") for i, c in enumerate(more)])

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relflow.functions.lambdas import quoted
+from relflow.llm.batches import bound_batches
 from relflow.sources.scratch import written
 
 ROLES = ("system", "user", "assistant", "tool")
@@ -233,6 +234,7 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
         if last:
             yield summary(*last)
 
+    bound_batches(turns.sparkSession)
     found = dealt.mapInArrow(ends, "part int, place int, cell bigint, m binary").collect()
     chains: list[list] = []
     for r in sorted(found, key=lambda r: (r["part"], r["place"])):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relflow.llm.batches import WordTable, annotate, lower_words, mix, offsets, per_text, slices, text_of
+from relflow.llm.batches import WordTable, annotate, bound_batches, lower_words, mix, offsets, per_text, slices, text_of
 from relflow.sources.scratch import written
 
 #: The least number of words in the vocabulary of a corpus that has so many.
@@ -306,6 +306,7 @@ def held(key: str, make: Callable[[], object]) -> object:
 # training -------------------------------------------------------------------
 def word_counts(docs: DataFrame, text: str) -> DataFrame:
     """(w, n): how often each word of the whole corpus occurs; summed in the tasks and then over them."""
+    bound_batches(docs.sparkSession)
     source = docs.select(text_of(docs, text).alias("t"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

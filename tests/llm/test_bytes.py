@@ -1,7 +1,9 @@
 """Strings of Spark that aren't UTF-8: read as replacement characters by all operators that count them."""
 
+import pyarrow as pa
 import pytest
 
+from relflow.llm.batches import BATCH_BYTES, bound_batches
 from relflow.llm.pieces import encode_pieces
 from relflow.llm.rules import quality_rules
 from relflow.llm.tokencount import token_counts
@@ -27,3 +29,16 @@ def test_token_counts(broken, spark):
     got = {r["doc_id"]: r for r in token_counts(broken).collect()}
     same = token_counts(spark.createDataFrame([("a \ufffd b\ufffd(",)], "text string")).first()
     assert got[1]["n_bytes"] == 7 and got[1]["n_tokens"] == same["n_tokens"]
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Long texts come to workers in batches of some megabytes, however few rows that is."""
+    seen = spark.range(0, 60, 1, 1).selectExpr("id", "repeat('word ', 100000) as text")
+    bound_batches(spark)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    rows = [r["n"] for r in seen.mapInArrow(sizes, "n bigint").collect()]
+    assert sum(rows) == 60 and max(rows) <= BATCH_BYTES // 500_000 + 1
