@@ -11,7 +11,6 @@ import pickle
 from collections.abc import Callable, Iterable
 from typing import Any
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -192,7 +191,9 @@ def _opaque_fold(rel: Relation, f: FoldFn, key: Callable | None) -> Relation:
 
     out = T.StructType([T.StructField("key", key_type), T.StructField(VALUE, _type_of(rel.df, f.returns))])
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    def merge(pdf):  # noqa: ANN001, ANN202
+        import pandas as pd  # here, since all workers import this module and few need pandas
+
         acc = f.combine()
         for a in pdf["acc"]:
             acc = f.combine(acc, pickle.loads(a))
