@@ -19,8 +19,8 @@ from relflow.functions.lambdas import quoted
 SLICE_BYTES = 2_000_000
 #: Bytes of an Arrow batch between Spark and a worker, which both hold outside of Spark's heap.
 BATCH_BYTES = 8_000_000
-#: Distinct words that a worker's table holds before it starts anew.
-TABLE_WORDS = 300_000
+#: Distinct words that a worker's table holds before it starts anew; fewer where a word's number is a hash, which is soon made again.
+TABLE_WORDS, HASHED_WORDS = 300_000, 60_000
 
 _U = np.uint64
 
@@ -37,6 +37,11 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(limit, str(BATCH_BYTES))
 
 
+def release() -> None:
+    """Gives the memory that Arrow keeps free back to the system; workers that wait for tasks would hold it."""
+    pa.default_memory_pool().release_unused()
+
+
 def annotate(df: DataFrame, text: str, make: Callable[[], Callable[[list], dict]], fields: str, keep: list[str] | None = None, with_columns: list[str] | None = None) -> DataFrame:
     """``df`` (its columns ``keep``, else all) with new columns computed from the text.
 
@@ -61,6 +66,7 @@ def annotate(df: DataFrame, text: str, make: Callable[[], Callable[[list], dict]
                 arrays = [part.column(i).cast(arrow.field(i).type) for i in range(n)]
                 arrays += [_array(out[x.name], arrow.field(x.name).type) for x in new]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        release()
 
     return source.mapInArrow(run, schema)
 

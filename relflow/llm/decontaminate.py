@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relflow.functions.lambdas import quoted
-from relflow.llm.batches import WordTable, annotate, flat, grams, hash_words, offsets, starts
+from relflow.llm.batches import HASHED_WORDS, WordTable, annotate, flat, grams, hash_words, offsets, starts
 from relflow.sources.scratch import written
 
 SPAN, GRAM = 8, 4
@@ -125,7 +125,7 @@ def find(h: np.ndarray, off: np.ndarray, block: Block, span: int, k: int) -> lis
 
 def maker(get: Callable[[], Block], span: int, k: int) -> Callable[[], Callable]:
     def make() -> Callable:
-        block, table = get(), WordTable(hash_words)
+        block, table = get(), WordTable(hash_words, HASHED_WORDS)
 
         def run(texts: list, spans: list, items: list) -> dict:
             words = [words_of(t) for t in texts]

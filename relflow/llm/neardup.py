@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relflow.functions.lambdas import quoted
-from relflow.llm.batches import WordTable, annotate, flat, grams, hash_words, mix, odd, offsets, slices, starts
+from relflow.llm.batches import HASHED_WORDS, WordTable, annotate, flat, grams, hash_words, mix, odd, offsets, release, slices, starts
 from relflow.llm.bitmaps import might_be
 from relflow.llm.components import components
 from relflow.sources.scratch import workspace, written
@@ -89,7 +89,7 @@ def minwise(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketch_maker() -> Callable:
-    table = WordTable(hash_words)
+    table = WordTable(hash_words, HASHED_WORDS)
 
     def run(texts: list) -> dict:
         sets = shingle_sets(texts, table)
@@ -200,6 +200,7 @@ def by_run(f: Callable[[pa.Table], pa.RecordBatch | None]) -> Callable:
                     key = keys[s]
                 held.append(batch.slice(s, e - s))
         yield from flush()
+        release()
 
     return run
 
@@ -298,11 +299,12 @@ def full_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(hash_words)
+        table = WordTable(hash_words, HASHED_WORDS)
         for b in batches:
             for part in slices(b, 0):
                 sets = [s for s in shingle_sets(part.column(0).to_pylist(), table) if len(s)]
                 yield _binaries(["digest", "shingles"], [digest_of(s) for s in sets], [s.tobytes() for s in sets])
+        release()
 
     t = F.col(quoted(text)).cast("string")
     rows = might_be(docs.where(t.isNotNull()).select(t.alias("t")), F.xxhash64("t"), wanted, "hit").where("hit")

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from relflow.llm.batches import WordTable, annotate, flat, grams, hash_words, mix, offsets, per_text, starts
+from relflow.llm.batches import HASHED_WORDS, WordTable, annotate, flat, grams, hash_words, mix, offsets, per_text, starts
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b"\t\n\x0b\x0c\r "
@@ -86,7 +86,7 @@ def clean(text: bytes, rules: Rules) -> tuple[bytes, int, int]:
 
 def maker(rules: Rules, with_text: bool) -> Callable[[], Callable]:
     def make() -> Callable:
-        table = WordTable(hash_words)
+        table = WordTable(hash_words, HASHED_WORDS)
 
         def run(texts: list) -> dict:
             texts = [t or b"" for t in texts]
