@@ -174,6 +174,14 @@ class Fold:
             best = F.struct(as_column(self.key(x)).alias("k"), unwrap(x).alias("x")) if self.key else F.struct(unwrap(x).alias("x"))
             return (F.max if self.reverse else F.min)(only(best))["x"]
         wrapped = only(F.struct(unwrap(x).alias("x")))
+        steps = [step[0] for step in self.post] if self.terminal == "vec" else []
+        if steps in (["first"], ["last"]):
+            return (F.first if steps == ["first"] else F.last)(wrapped, ignorenulls=True)["x"]
+        if steps in (["sort", "first"], ["sort", "last"]):
+            # one element is held for each group, not all of them
+            _, key, reverse = self.post[0]
+            best = F.struct(as_column(key(x) if key else x).alias("k"), unwrap(x).alias("x"))
+            return (F.max if reverse != (steps[1] == "last") else F.min)(only(best))["x"]
         return self._finish(F.collect_set(wrapped) if self.terminal == "distinct" else F.collect_list(wrapped))
 
     def _over_arrays(self, x: Any, where: Column | None, df: DataFrame | None) -> Column:

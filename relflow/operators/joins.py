@@ -19,6 +19,8 @@ from relflow.relation import Relation, relation
 
 TYPES = ("required", "optional")
 STRATEGIES = {"replicated": "broadcast", "broadcast": "broadcast", "merge": "merge", "hash": "shuffle_hash", "shuffle_hash": "shuffle_hash", "skewed": None}
+#: Bytes, as Spark estimates them, up to which a side is replicated on request.
+REPLICATED_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -50,12 +52,19 @@ def _side(s: Select, i: int) -> tuple[DataFrame, Any, Column]:
     return side, row, F.col(f"__k{i}")
 
 
+def _small(df: DataFrame) -> bool:
+    """Whether Spark's estimate, which is a file's size where it knows no better, lets the side be replicated."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= REPLICATED_BYTES
+
+
 def join(selects: list[Select], f: Callable, join_nils: bool = False, strategy: str | None = None, parallel: int | None = None, all_args: bool = False) -> Relation:
     """Inner join of two or more sides, or outer join of exactly two.
 
     ``f`` gets one row for each side (with ``all_args`` key, row, key, row, ...);
     of an absent side all columns are null and ``row.present`` is false.
-    ``strategy`` is a physical hint, ``parallel`` the number of partitions.
+    ``strategy`` is a physical hint, ``parallel`` the number of partitions.  A
+    right side of over REPLICATED_BYTES is not replicated, whatever the hint:
+    Spark then chooses the join.
     """
     if len(selects) < 2:
         raise ValueError("a join needs two relations at least")
@@ -72,8 +81,9 @@ def join(selects: list[Select], f: Callable, join_nils: bool = False, strategy:
         df = df.repartition(parallel, first)
     for right, _, key in sides[1:]:
         right = right.repartition(parallel, key) if parallel else right
-        if strategy and STRATEGIES[strategy]:
-            right = right.hint(STRATEGIES[strategy])
+        hint = STRATEGIES[strategy] if strategy else None
+        if hint and (hint != "broadcast" or _small(right)):
+            right = right.hint(hint)
         df = df.join(right, first.eqNullSafe(key) if join_nils else first == key, how)
     args = [x for _, row, key in sides for x in ((key, row) if all_args else (row,))]
     return Relation(df.select(*to_columns(f(*args))))

@@ -339,3 +339,28 @@ def test_sums_after_a_mapcat_keep_their_type(spark):
     assert [str(x) for x in rf.dump(rf.fold_relation(n.filter(lambda r: r.x < 9), tenths))] == ["0.6"]
     halves = n.filter(lambda r: r.x < 9).map(lambda r: {"x": r.x.cast("double") / 2})
     assert rf.dump(rf.fold_relation(halves, fold.mapcat(lambda r: F.array(r.x)).sum())) == [3.0]
+
+
+def test_replicated_side_is_checked_for_size(spark, monkeypatch):
+    # files, since the sizes of local rows are always known
+    n = spark.read.parquet("/root/testdata/sf0.001/nation.parquet")
+    r = spark.read.parquet("/root/testdata/sf0.001/region.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = lambda: rf.join([on(n, "n_regionkey"), on(r, "r_regionkey")], lambda a, b: {"a": a.n_name, "b": b.r_name}, strategy="replicated").df._jdf.queryExecution().toString()
+        assert "BroadcastHashJoin" in plan()
+        monkeypatch.setattr("relflow.operators.joins.REPLICATED_BYTES", 1)
+        assert "BroadcastHashJoin" not in plan()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_first_and_last_hold_one_element(spark):
+    r = rf.returning(spark, [("a", 3), ("a", None), ("a", 1), ("b", 2), ("c", None)], "k string, v int")
+    v = fold.map(lambda x: x.v)
+    f = fold.juxt(f=v.sort().first(), l=v.sort().last(), rf=v.sort(reverse=True).first(), rl=v.sort(reverse=True).last(), by=fold.sort_by(lambda x: x.v).last(), one=fold.filter(lambda x: x.v == 3).map(lambda x: x.v).first(), n=fold.filter(lambda x: x.v > 9).map(lambda x: x.v).sort().first())
+    out = rf.group_by(r, lambda x: x.k, fold=f)
+    assert "collect_list" not in out.df._jdf.queryExecution().toString()
+    got = {x["key"]: x["value"] for x in out.df.collect()}
+    assert [tuple(got[k])[:4] for k in "abc"] == [(None, 3, 3, None), (2, 2, 2, 2), (None, None, None, None)]
+    assert (got["a"]["by"]["v"], got["a"]["one"], got["b"]["one"], got["a"]["n"]) == (3, 3, None, None)
