@@ -311,9 +311,10 @@ def full_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     return rows.select(F.col("t").cast("binary").alias("t")).mapInArrow(run, "digest binary, shingles binary").groupBy("digest").agg(F.first("shingles").alias("shingles"))
 
 
-def linked(cells: DataFrame, docs: DataFrame, classes: DataFrame, text: str) -> DataFrame:
-    """Edges between the classes of each cell of (cell, digest), decided on full sets."""
-    keys = cells.select("digest").distinct().join(classes.select("digest", "key"), "digest").select("key")
+def linked(cells: DataFrame, docs: DataFrame, classes: DataFrame, text: str, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Edges between the classes of each cell of (cell, digest), decided on full sets.  Cells and keys are read several times, so they are written."""
+    cells = keep(cells, "cells")
+    keys = keep(classes.join(cells, "digest", "left_semi").select("key"), "keys")
     return _in_runs(cells.join(full_sets(docs, text, keys), "digest").select("cell", "digest", "shingles"), "cell", equal_edges)
 
 
@@ -356,7 +357,7 @@ def majorities(labelled: DataFrame) -> DataFrame:
 def head_pairs(large: DataFrame, classes: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """(head, digest): the first member of each node that most others resemble by their tokens, with those that do."""
     met = large.join(classes.select("digest", "low"), "digest")
-    first = met.groupBy("node").agg(F.min(F.struct("digest", "low")).alias("first")).select("node", F.col("first.digest").alias("head"), F.col("first.low").alias("head_low"))
+    first = large.groupBy("node").agg(F.min("digest").alias("head")).join(classes.select(F.col("digest").alias("head"), F.col("low").alias("head_low")), "head")
     compared = keep(with_likeness(met.join(keep(first, "first"), "node")), "heads")
     alike = F.col("like") >= HEAD
     coherent = compared.groupBy("node").agg(F.avg(alike.cast("double")).alias("part")).where(F.col("part") >= COHERENT).select("node")
@@ -365,14 +366,15 @@ def head_pairs(large: DataFrame, classes: DataFrame, keep: Callable[[DataFrame,
 
 def near_links(docs: DataFrame, classes: DataFrame, text: str, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Edges (a, b) between classes that are linked: as many as it takes to connect them."""
-    rows = classes.select("digest", "tokens").mapInArrow(paths_maker, "node bigint, digest binary").distinct()
+    # a class's paths end in different nodes, so these rows and their children are unique as they are
+    rows = classes.select("digest", "tokens").mapInArrow(paths_maker, "node bigint, digest binary")
     labels = keep(classes.select("digest", F.col("digest").alias("label")).limit(0), "labels")
     none, links, small = labels.select("label", "digest"), [], []
     pairs_done, others_done, whole = labels.select(F.col("label").alias("head"), "digest"), none, None
 
     def learned(cells: DataFrame) -> DataFrame:
         """The labels of all linked classes, those of ``cells`` among them."""
-        links.append(keep(linked(cells, docs, classes, text), "links"))
+        links.append(keep(linked(cells, docs, classes, text, keep), "links"))
         return components(reduce(DataFrame.unionByName, links), "labels", keep).select(F.col("v").alias("digest"), F.col("c").alias("label"))
 
     for level in range(LEVELS + 1):
@@ -414,7 +416,7 @@ def near_links(docs: DataFrame, classes: DataFrame, text: str, keep: Callable[[D
         if level == LEVELS:
             whole = large
             break
-        rows = large.join(classes.select("digest", "tokens"), "digest").select("node", "digest", "tokens").mapInArrow(branch_maker, "node bigint, digest binary").distinct()
+        rows = keep(large.join(classes.select("digest", "tokens"), "digest").select("node", "digest", "tokens").mapInArrow(branch_maker, "node bigint, digest binary"), "children")
     rows = reduce(DataFrame.unionByName, small).join(classes.select("digest", "n", "low"), "digest")
     found = keep(_in_runs(rows.join(labels, "digest", "left").select("node", "digest", "n", "low", "label"), "node", likely_groups, "group binary, head binary, digest binary").distinct(), "groups")
     chains = components(found.select(F.col("head").alias("a"), F.col("digest").alias("b")), "candidates", keep)
@@ -427,7 +429,7 @@ def near_links(docs: DataFrame, classes: DataFrame, text: str, keep: Callable[[D
     if whole is not None:
         members = members.unionByName(whole)
     members = keep(members.distinct(), "members")
-    last = linked(group_cells(members, classes, keep), docs, classes, text)
+    last = linked(group_cells(members, classes, keep), docs, classes, text, keep)
     return reduce(DataFrame.unionByName, [*links, last])
 
 

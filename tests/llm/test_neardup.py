@@ -143,3 +143,17 @@ def test_a_large_family_is_linked_through_its_first_member(spark, monkeypatch):
     monkeypatch.setattr(neardup, "linked", lambda cells, *more: sizes.append(cells.count()) or linked(cells, *more))
     assert ran(spark, rows) == brute(rows)
     assert sum(sizes) < 10 * len(rows)
+
+
+def test_each_table_is_made_once(spark, monkeypatch):
+    """Keys that several jobs read are written, not made anew by each."""
+    rng = random.Random(13)
+    rows = list(enumerate(family(rng, 60, 120, 4, [f"w{i}" for i in range(2000)])))
+    for name, value in (("NODE", 6), ("BLOCK", 4)):
+        monkeypatch.setattr(neardup, name, value)
+    made = []
+    read = neardup.full_sets
+    monkeypatch.setattr(neardup, "full_sets", lambda docs, text, wanted: made.append(wanted) or read(docs, text, wanted))
+    assert ran(spark, rows) == brute(rows)
+    plans = [w._jdf.queryExecution().analyzed().toString() for w in made]
+    assert made and not any("Join" in p or "Aggregate" in p for p in plans)
