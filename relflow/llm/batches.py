@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +39,41 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(limit, str(BATCH_BYTES))
 
 
+_HELD: dict = {}
+_ASKED: set = set()
+
+
+def held(key: str, make: Callable[[], object]) -> object:
+    """A worker's one table that outlives a task."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    _ASKED.add(key)
+    return _HELD[key]
+
+
+def drop_unasked() -> None:
+    """Drops a table that the worker's present task hasn't asked for: workers outlive operators, too."""
+    if not _HELD.keys() <= _ASKED:
+        _HELD.clear()
+    _ASKED.clear()
+
+
 def release() -> None:
-    """Gives the memory that Arrow keeps free back to the system; workers that wait for tasks would hold it."""
+    """Gives the memory that Arrow and the C library keep free back to the system; workers that wait for tasks would hold it."""
     pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def releasing(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run`` for mapInArrow; once it is done and its variables are gone, the worker's free memory is given back."""
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return whole
 
 
 def annotate(df: DataFrame, text: str, make: Callable[[], Callable[[list], dict]], fields: str, keep: list[str] | None = None, with_columns: list[str] | None = None) -> DataFrame:
@@ -59,6 +93,7 @@ def annotate(df: DataFrame, text: str, make: Callable[[], Callable[[list], dict]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
+        drop_unasked()
         for batch in batches:
             for part in slices(batch, n):
                 args = [part.column(i).to_pylist() for i in range(n + 1, n + 1 + len(more))]
@@ -66,9 +101,8 @@ def annotate(df: DataFrame, text: str, make: Callable[[], Callable[[list], dict]
                 arrays = [part.column(i).cast(arrow.field(i).type) for i in range(n)]
                 arrays += [_array(out[x.name], arrow.field(x.name).type) for x in new]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
-        release()
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(releasing(run), schema)
 
 
 def _array(values: object, kind: pa.DataType) -> pa.Array:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relflow.llm.batches import WordTable, annotate, bound_batches, lower_words, mix, offsets, per_text, slices, text_of
+from relflow.llm.batches import WordTable, annotate, bound_batches, held, lower_words, mix, offsets, per_text, slices, text_of
 from relflow.sources.scratch import written
 
 #: The least number of words in the vocabulary of a corpus that has so many.
@@ -292,17 +292,6 @@ def numbered(vocabulary: dict[bytes, int], spell: Callable[[list], np.ndarray] |
     return compute
 
 
-_HELD: dict = {}
-
-
-def held(key: str, make: Callable[[], object]) -> object:
-    """A worker's one table of the last model, which outlives a task."""
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = make()
-    return _HELD[key]
-
-
 # training -------------------------------------------------------------------
 def word_counts(docs: DataFrame, text: str) -> DataFrame:
     """(w, n): how often each word of the whole corpus occurs; summed in the tasks and then over them."""

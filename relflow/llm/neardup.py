@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relflow.functions.lambdas import quoted
-from relflow.llm.batches import HASHED_WORDS, WordTable, annotate, flat, grams, hash_words, mix, odd, offsets, release, slices, starts
+from relflow.llm.batches import HASHED_WORDS, WordTable, annotate, drop_unasked, flat, grams, hash_words, mix, odd, offsets, releasing, slices, starts
 from relflow.llm.bitmaps import might_be
 from relflow.llm.components import components
 from relflow.sources.scratch import workspace, written
@@ -181,6 +181,7 @@ def by_run(f: Callable[[pa.Table], pa.RecordBatch | None]) -> Callable:
     """Applies ``f`` to each run of two or more rows with equal first columns."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_unasked()
         held: list[pa.RecordBatch] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -200,9 +201,8 @@ def by_run(f: Callable[[pa.Table], pa.RecordBatch | None]) -> Callable:
                     key = keys[s]
                 held.append(batch.slice(s, e - s))
         yield from flush()
-        release()
 
-    return run
+    return releasing(run)
 
 
 def _binaries(names: list[str], *columns: list) -> pa.RecordBatch:
@@ -299,16 +299,16 @@ def full_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_unasked()
         table = WordTable(hash_words, HASHED_WORDS)
         for b in batches:
             for part in slices(b, 0):
                 sets = [s for s in shingle_sets(part.column(0).to_pylist(), table) if len(s)]
                 yield _binaries(["digest", "shingles"], [digest_of(s) for s in sets], [s.tobytes() for s in sets])
-        release()
 
     t = F.col(quoted(text)).cast("string")
     rows = might_be(docs.where(t.isNotNull()).select(t.alias("t")), F.xxhash64("t"), wanted, "hit").where("hit")
-    return rows.select(F.col("t").cast("binary").alias("t")).mapInArrow(run, "digest binary, shingles binary").groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    return rows.select(F.col("t").cast("binary").alias("t")).mapInArrow(releasing(run), "digest binary, shingles binary").groupBy("digest").agg(F.first("shingles").alias("shingles"))
 
 
 def linked(cells: DataFrame, docs: DataFrame, classes: DataFrame, text: str, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:

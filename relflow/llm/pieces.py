@@ -21,7 +21,7 @@ import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from relflow.llm.batches import annotate
+from relflow.llm.batches import annotate, held
 
 MARK = "▁"
 #: Chunks that one generation of a worker's cache holds; two generations live at a time.
@@ -163,14 +163,9 @@ class PieceCache:
         return list(map(young.__getitem__, chunks)), backs
 
 
-_MODELS: dict[str, PieceCache] = {}
-
-
 def cache_of(path: str) -> PieceCache:
     """The worker's cache for a model: it outlives a task."""
-    if path not in _MODELS:
-        _MODELS[path] = PieceCache(PieceModel(path))
-    return _MODELS[path]
+    return held(f"pieces {path}", lambda: PieceCache(PieceModel(path)))
 
 
 def maker(path: str | None, with_ids: bool) -> Callable[[], Callable]:

@@ -1,10 +1,12 @@
 """Strings of Spark that aren't UTF-8: read as replacement characters by all operators that count them."""
 
+import gc
+
 import pyarrow as pa
 import pytest
 
-from relflow.llm.batches import BATCH_BYTES, bound_batches
-from relflow.llm.pieces import encode_pieces
+from relflow.llm.batches import BATCH_BYTES, annotate, bound_batches
+from relflow.llm.pieces import PieceCache, encode_pieces
 from relflow.llm.rules import quality_rules
 from relflow.llm.tokencount import token_counts
 
@@ -42,3 +44,14 @@ def test_batches_are_bounded_by_bytes(spark):
 
     rows = [r["n"] for r in seen.mapInArrow(sizes, "n bigint").collect()]
     assert sum(rows) == 60 and max(rows) <= BATCH_BYTES // 500_000 + 1
+
+
+def test_a_cache_goes_when_another_operator_runs(spark):
+    """Workers live on from stage to stage; each would hold the sentencepiece cache meanwhile."""
+    docs = spark.range(0, 64, 1, 16).selectExpr("id", "concat('some words ', id) as text")
+    assert encode_pieces(docs, keep=["id"]).count() == 64 and encode_pieces(docs).agg({"n_tokens": "sum"}).first()[0] > 0
+
+    def maker():
+        return lambda texts: {"n": [sum(isinstance(x, PieceCache) for x in gc.get_objects())] * len(texts)}
+
+    assert annotate(docs, "text", lambda: maker(), "n int").agg({"n": "max"}).first()[0] == 0
