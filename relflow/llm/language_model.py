@@ -43,6 +43,8 @@ BYTES = 257
 SIDE, DIM = 2, 16
 #: Targets of one step, and the rate and bound of a step.
 BATCH, RATE, CLIP, SEED = 4_096, 0.3, 0.25, 11
+#: Places that are scored at once; every class is one product, so a larger batch has fewer calls a place.
+SCORED = 16_384
 #: Slots of a worker's table of bytes among their neighbours, and words of its other table.
 SLOTS, TABLE = 1 << 20, 600_000
 #: Logits stay under this, so that exponentials are finite; and the logit of places that no token has.
@@ -172,11 +174,14 @@ def step(net: Network, row: np.ndarray, at: np.ndarray, weight: np.ndarray | Non
     grad[some] -= np.add.reduceat(heavy, cuts[some], axis=0)
     back = (e @ net.classes) * own
     inner = np.zeros_like(net.words)
+    # a column of ones gives the sums of e with the same product
+    summing = np.concatenate([net.words, np.ones((*net.words.shape[:2], 1), np.float32)], 2)
     for k in some:
         a, b = cuts[k], cuts[k + 1]
         e = _weights(h[a:b] @ net.words[k].T)
-        own = ((1 if share is None else share[a:b]) / e.sum(1))[:, None]
-        back[a:b] += (e @ net.words[k]) * own
+        both = e @ summing[k]
+        own = (1 if share is None else share[a:b, None]) / both[:, DIM + 1 :]
+        back[a:b] += both[:, : DIM + 1] * own
         np.matmul(e.T, h[a:b] * own, out=inner[k])
     taken = net.classes[c] + net.words[c, w]
     back -= taken if share is None else taken * share[:, None]
@@ -263,8 +268,8 @@ class Speller:
         if len(missing):
             new, first, where = np.unique(windows[missing], return_index=True, return_inverse=True)
             logs = np.empty(len(new), np.float32)
-            for a in range(0, len(new), BATCH):
-                logs[a : a + BATCH] = log_probs(self.net, *row_of(new[a : a + BATCH]))
+            for a in range(0, len(new), SCORED):
+                logs[a : a + SCORED] = log_probs(self.net, *row_of(new[a : a + SCORED]))
             out[missing] = logs[where]
             self.keys[slot[missing[first]]], self.logs[slot[missing[first]]] = new, logs
         return per_text(out.astype(np.float64), off)
@@ -410,8 +415,8 @@ def maker(get: Callable[[], tuple[dict, Network, Network]], key: str | None = No
             if words:
                 info = table(words)[numbers]
                 row, at = padded(info["id"], off, net.size - 1)
-                for a in range(0, len(at), BATCH):
-                    logs[a : a + BATCH] = log_probs(net, row, at[a : a + BATCH])
+                for a in range(0, len(at), SCORED):
+                    logs[a : a + SCORED] = log_probs(net, row, at[a : a + SCORED])
                 logs += info["log"]
                 n = info["n"].astype(np.int64)
             total, n = per_text(logs, off), per_text(n, off)

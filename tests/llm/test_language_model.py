@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from relflow.llm import language_model
 from relflow.llm.language_model import (
     BYTES, DIM, KNOWN, MARKS, MOST, RATE, SIDE, Network, Speller, averaged, bounded, log_probs, maker, marks_of, padded, pseudo_likelihood,
     row_of, size_of, spelling, spelling_learner, step, text_learner, vocabulary_of, windows_of, word_counts,
@@ -175,3 +176,16 @@ def test_rare_words_are_told_apart(spark):
     docs = spark.createDataFrame([(0, common), (1, "w1 abcdez w2"), (2, "w1 qxjkvz w2")], "doc_id bigint, text string")
     got = {r["doc_id"]: r["log_prob"] for r in pseudo_likelihood(docs, keep=["doc_id"]).collect()}
     assert np.ptp(marks_of([b"abcdez", b"qxjkvz"])) == 0 and abs(got[1] - got[2]) > 1e-3
+
+
+def test_texts_are_scored_in_large_batches(monkeypatch):
+    """A text of several training batches is scored in few calls, with the result of many."""
+    vocabulary = {b"w%d" % i: i for i in range(50)}
+    net, speller = Network.start(size_of(vocabulary)), Network.start(BYTES)
+    text = b" ".join(b"w%d" % (i * i % 53) for i in range(3 * language_model.BATCH))
+    calls, whole = [], language_model.log_probs
+    monkeypatch.setattr(language_model, "log_probs", lambda n, row, at: calls.append(n is net) or whole(n, row, at))
+    run = language_model.maker(lambda: (vocabulary, net, speller))()
+    large, few = run([text])["log_prob"][0], sum(calls)
+    monkeypatch.setattr(language_model, "SCORED", 1_000)
+    assert few == 1 and np.isclose(large, run([text])["log_prob"][0], rtol=1e-6)
