@@ -11,6 +11,7 @@ import pickle
 from collections.abc import Callable, Iterable
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,7 +132,8 @@ def reduce_relation(rel: Relation | DataFrame, f: Callable, *initial: Any, retur
 
     ``initial``, if given, is the first accumulator, else the first value is.
     The order is that of partitions.  Empty gives no row.  The one task streams
-    Arrow batches, so memory stays bounded; time doesn't.
+    Arrow batches and sorts nothing, so memory stays bounded; time doesn't.
+    Shuffles of ``rel`` run at once, since the number of its partitions is needed.
     """
     assert_arity(f, 2, "reduce")
     rel = relation(rel)
@@ -140,16 +142,33 @@ def reduce_relation(rel: Relation | DataFrame, f: Callable, *initial: Any, retur
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        acc, some = list(initial), False
+        acc, some, last = list(initial), False, -1
         for batch in batches:
-            for x in batch.column(0).to_pylist() if scalar else batch.to_pylist():
+            at = np.concatenate([[last], batch.column(batch.num_columns - 1).to_numpy()])
+            if (at[1:] <= at[:-1]).any():
+                raise RuntimeError("the shuffle doesn't keep the order of rows")
+            last = at[-1]
+            for x in batch.column(0).to_pylist() if scalar else batch.select(batch.schema.names[:-1]).to_pylist():
                 acc, some = [f(acc[0], x) if acc else x], True
         if some:
             yield pa.RecordBatch.from_pylist([{VALUE: acc[0]}], arrow)
 
-    # a shuffle, so that what comes before the one task stays parallel; the order of partitions is kept
-    placed = rel.df.withColumn("__at", F.monotonically_increasing_id()).repartition(1).sortWithinPartitions("__at").drop("__at")
-    return Relation(placed.mapInArrow(run, schema))
+    return Relation(_in_order(rel.df).mapInArrow(run, schema))
+
+
+def _in_order(df: DataFrame) -> DataFrame:
+    """``df`` in one task in the order of its partitions, with ``__at``, which rises; what comes before stays parallel.
+
+    A partition is shuffled to the one of its number, whose rows so come from one
+    task and in order, and the task reads these one after the other.
+    """
+    spark, jdf = df.sparkSession, df._jdf
+    # the partitions as they are now, so that a second plan can't deal them otherwise
+    parts = jdf.queryExecution().toRdd()
+    fixed = DataFrame(spark._jsparkSession.internalCreateDataFrame(parts, jdf.schema(), False), spark)
+    # the number of the partition stands above bit 33
+    numbered = fixed.withColumn("__at", F.monotonically_increasing_id())
+    return numbered.repartitionById(max(1, parts.getNumPartitions()), F.shiftright("__at", 33).cast("int")).coalesce(1)
 
 
 def _type_of(df: DataFrame, ddl: str) -> T.DataType:

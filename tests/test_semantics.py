@@ -364,3 +364,18 @@ def test_first_and_last_hold_one_element(spark):
     got = {x["key"]: x["value"] for x in out.df.collect()}
     assert [tuple(got[k])[:4] for k in "abc"] == [(None, 3, 3, None), (2, 2, 2, 2), (None, None, None, None)]
     assert (got["a"]["by"]["v"], got["a"]["one"], got["b"]["one"], got["a"]["n"]) == (3, 3, None, None)
+
+
+def test_reduce_keeps_the_order_of_partitions_without_a_sort(spark, capsys):
+    sorted_rows = rf.relation(spark.range(0, 3000, 1, 7).select((3000 - F.col("id")).alias("value")).repartition(5)).df.orderBy("value").repartitionByRange(9, "value").sortWithinPartitions("value")
+    strictly = lambda a, x: x if a is not None and a == x - 1 else None
+    reduced = rf.reduce_relation(sorted_rows, strictly, 0, returns="bigint")
+    assert rf.dump(reduced) == [3000]
+    # the rows of empty and of many partitions, and whole rows
+    some = spark.range(0, 2500, 1, 1250).where("id % 7 = 3")
+    rows = rf.reduce_relation(some.select("id", F.lit("x").alias("s")), lambda a, x: [*a, x["id"]], [], returns="array<bigint>")
+    assert rf.dump(rows) == [list(range(3, 2500, 7))]
+    reduced.df.explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan
+    assert "Sort" not in plan
