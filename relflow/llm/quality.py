@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relflow.functions.lambdas import quoted
-from relflow.llm.batches import WordTable, annotate, flat, hash_words, mix, offsets, per_text
+from relflow.llm.batches import WordTable, annotate, flat, hash_words, mix, offsets, per_text, release
 from relflow.llm.samples import PER_LABEL, held_out, training_texts
 
 BUCKETS, DIM = 1 << 17, 16
@@ -168,5 +168,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     """
     texts, y = training_texts(docs, labels, label, doc_id, text, per_label)
     shared = docs.sparkSession.sparkContext.broadcast(fit(texts, y))
+    del texts, y
+    release()
     out = annotate(docs, text, maker(lambda: shared.value, threshold, (score, predicted)), f"{score} double, {predicted} int", keep)
     return out.withColumn(held, held_out(F.col(quoted(doc_id)))) if held else out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -58,6 +59,16 @@ def workspace(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, s
         yield lambda df, part: _written(df, f"{folder}/{part}-{uuid.uuid4().hex}")
     finally:
         remove(spark, folder)
+        tidy(spark)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Has the driver let go of what ended plans held: their shuffles and broadcasts, and heap that is free.
+
+    Its JVM collects late while it has room and grows its heap instead.
+    """
+    gc.collect()  # Python's handles keep the JVM's objects
+    spark._jvm.System.gc()
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -1,6 +1,8 @@
 """Golden cases: literal input, literal output."""
 
+import gc
 import gzip
+import time
 
 import pyarrow as pa
 import pytest
@@ -10,7 +12,7 @@ import relflow as rf
 from relflow import Relation, fold, on, plans, returning, streaming
 from relflow import sources as src
 from relflow.sources import edn
-from relflow.sources.scratch import scratch
+from relflow.sources.scratch import scratch, workspace
 
 
 def ints(spark, *xs):
@@ -379,3 +381,19 @@ def test_reduce_keeps_the_order_of_partitions_without_a_sort(spark, capsys):
     plan = capsys.readouterr().out
     assert "MapInArrow" in plan
     assert "Sort" not in plan
+
+
+def test_a_workspace_ends_with_a_tidy_driver(spark):
+    held = spark._jvm.java.util.ArrayList()
+    known = spark._jvm.java.lang.ref.WeakReference(held)
+    gc.disable()
+    try:
+        cycle = [held]
+        cycle.append(cycle)
+        del held, cycle
+        for _ in range(2):  # Python hands its dead handles on in a thread of its own, which may come after the first
+            with workspace(spark, "some"):
+                time.sleep(2)
+        assert known.get() is None
+    finally:
+        gc.enable()
