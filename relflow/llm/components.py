@@ -23,9 +23,11 @@ def components(edges: DataFrame, name: str = "components", into: Callable[[DataF
     FEW edges or less, a bounded size that is checked, are joined by one task.
     """
     with workspace(edges.sparkSession, name) as keep:
-        left = keep(_proper(edges), "edges")
-        few = left.count() <= FEW
-        return into(left.coalesce(1).mapInArrow(_joined, "v binary, c binary") if few else _components(left, keep), name)
+        # copies of an edge go only if there are many: a few need no shuffle
+        left = keep(edges.where(F.col("a") != F.col("b")), "edges")
+        if left.count() <= FEW:
+            return into(left.coalesce(1).mapInArrow(_joined, "v binary, c binary"), name)
+        return into(_components(keep(_proper(left), "edges"), keep), name)
 
 
 def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

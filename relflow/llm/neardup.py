@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ LIKELY = 0.45
 HEAD, COHERENT = 0.62, 0.5
 #: Classes, and shingles, in one block of a group that is checked on full sets.
 BLOCK, BLOCK_SHINGLES = 120, 60_000
+#: Bytes that a task of a join or of a written table should have, and about those of a row of keys, one with tokens, one with a full set.
+TASK_BYTES, NARROW, WIDE, FULL = 4_000_000, 40, 400, 4_000
 
 _U = np.uint64
 
@@ -96,12 +99,14 @@ def sketch_maker() -> Callable:
         some = [i for i, s in enumerate(sets) if len(s)]
         tokens: list = [None] * len(texts)
         digests: list = [None] * len(texts)
+        low: list = [None] * len(texts)
         for lo in range(0, len(some), 512):
             part = some[lo : lo + 512]
             for i, row in zip(part, minwise([sets[i] for i in part]), strict=True):
                 tokens[i] = row.tobytes()
+                low[i] = row[:COMPARED].astype(np.uint8).tobytes()
                 digests[i] = digest_of(sets[i])
-        return {"n_shingles": [len(s) for s in sets], "digest": digests, "tokens": tokens}
+        return {"n_shingles": [len(s) for s in sets], "digest": digests, "tokens": tokens, "low": low}
 
     return run
 
@@ -275,9 +280,28 @@ def equal_pairs(rows: pa.Table) -> list[tuple[int, int]]:
 EDGE = "a binary, b binary"
 
 
-def _in_runs(df: DataFrame, key: str, f: Callable, schema: str = EDGE) -> DataFrame:
+class Tables:
+    """Writes tables, each over as many tasks as it needs.
+
+    ``rows`` is the number of classes; a table has about ``times`` as many rows, of
+    ``width`` bytes.  Where Spark has more partitions than such a table fills with
+    TASK_BYTES, and more than there are cores, each would cost a task and a file.
+    A hot key's parts are still dealt out: only whole partitions are put together.
+    """
+
+    def __init__(self, keep: Callable[[DataFrame, str], DataFrame], rows: int, cores: int):
+        self.keep, self.rows, self.cores = keep, rows, cores
+
+    def fit(self, df: DataFrame, times: float = 1, width: int = NARROW) -> DataFrame:
+        return df.coalesce(max(self.cores, ceil(times * self.rows * width / TASK_BYTES)))
+
+    def __call__(self, df: DataFrame, name: str, times: float = 1, width: int = NARROW) -> DataFrame:
+        return self.keep(self.fit(df, times, width), name)
+
+
+def _in_runs(df: DataFrame, key: str, f: Callable, fit: Callable[[DataFrame], DataFrame], schema: str = EDGE) -> DataFrame:
     """What ``f`` finds in the rows of each key; keys hold few rows."""
-    return df.repartition(F.col(key)).sortWithinPartitions(key, "digest").mapInArrow(by_run(f), schema)
+    return fit(fit(df).repartition(F.col(key))).sortWithinPartitions(key, "digest").mapInArrow(by_run(f), schema)
 
 
 def with_likeness(rows: DataFrame) -> DataFrame:
@@ -311,14 +335,15 @@ def full_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     return rows.select(F.col("t").cast("binary").alias("t")).mapInArrow(releasing(run), "digest binary, shingles binary").groupBy("digest").agg(F.first("shingles").alias("shingles"))
 
 
-def linked(cells: DataFrame, docs: DataFrame, classes: DataFrame, text: str, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def linked(cells: DataFrame, docs: DataFrame, classes: DataFrame, text: str, keep: Tables) -> DataFrame:
     """Edges between the classes of each cell of (cell, digest), decided on full sets.  Cells and keys are read several times, so they are written."""
     cells = keep(cells, "cells")
     keys = keep(classes.join(cells, "digest", "left_semi").select("key"), "keys")
-    return _in_runs(cells.join(full_sets(docs, text, keys), "digest").select("cell", "digest", "shingles"), "cell", equal_edges)
+    met = cells.join(full_sets(docs, text, keys), "digest").select("cell", "digest", "shingles")
+    return _in_runs(met, "cell", equal_edges, lambda df: keep.fit(df, 1, FULL))
 
 
-def _dealt(members: DataFrame, by: str, classes: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def _dealt(members: DataFrame, by: str, classes: DataFrame, keep: Tables) -> DataFrame:
     """``members`` (``by``, digest) with the number of their block, ``mine`` of ``blocks``: a block holds BLOCK classes or BLOCK_SHINGLES shingles."""
     sized = members.join(classes.select("digest", "n"), "digest")
     blocks = sized.groupBy(by).agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
@@ -326,13 +351,13 @@ def _dealt(members: DataFrame, by: str, classes: DataFrame, keep: Callable[[Data
     return members.join(keep(blocks, "blocks"), by).withColumn("mine", F.pmod(F.xxhash64("digest", F.lit(9)), F.col("blocks")).cast("int"))
 
 
-def head_cells(pairs: DataFrame, classes: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def head_cells(pairs: DataFrame, classes: DataFrame, keep: Tables) -> DataFrame:
     """Cells of (head, digest) pairs: each block of a head's members, and the head with them."""
     dealt = _dealt(pairs, "head", classes, keep).select("head", "digest", F.xxhash64("head", "mine").alias("cell"))
     return dealt.select("cell", "digest").unionByName(dealt.select("cell", F.col("head").alias("digest")).distinct())
 
 
-def family_cells(members: DataFrame, others: DataFrame, classes: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def family_cells(members: DataFrame, others: DataFrame, classes: DataFrame, keep: Tables) -> DataFrame:
     """Cells of families (label, digest) and of the others that are held against them: each block of one with each of the other."""
     ours, theirs = (_dealt(x, "label", classes, keep) for x in (members, others))
     n = lambda x: keep(x.select("label", F.col("blocks").alias("opposite")).distinct(), "blocks")
@@ -340,7 +365,7 @@ def family_cells(members: DataFrame, others: DataFrame, classes: DataFrame, keep
     return i.select("digest", F.xxhash64("label", "mine", "other").alias("cell")).unionByName(j.select("digest", F.xxhash64("label", "other", "mine").alias("cell")))
 
 
-def group_cells(members: DataFrame, classes: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def group_cells(members: DataFrame, classes: DataFrame, keep: Tables) -> DataFrame:
     """Cells of groups (node, digest): each pair of a group's blocks."""
     dealt = _dealt(members, "node", classes, keep)
     pairs = dealt.select("digest", "node", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -354,18 +379,20 @@ def majorities(labelled: DataFrame) -> DataFrame:
     return most.where(F.col("most.n") >= COHERENT * F.col("size")).select("node", F.col("most.label").alias("family"))
 
 
-def head_pairs(large: DataFrame, classes: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """(head, digest): the first member of each node that most others resemble by their tokens, with those that do."""
-    met = large.join(classes.select("digest", "low"), "digest")
+def head_pairs(large: DataFrame, classes: DataFrame, times: float, keep: Tables) -> DataFrame:
+    """(head, digest): the first member of each node that most others resemble by their tokens, with those that do.  ``large`` has ``times`` as many rows as there are classes."""
+    met = keep.fit(large.join(classes.select("digest", "low"), "digest"), times, WIDE)
     first = large.groupBy("node").agg(F.min("digest").alias("head")).join(classes.select(F.col("digest").alias("head"), F.col("low").alias("head_low")), "head")
-    compared = keep(with_likeness(met.join(keep(first, "first"), "node")), "heads")
+    compared = keep(with_likeness(met.join(keep(first, "first"), "node")), "heads", times)
     alike = F.col("like") >= HEAD
     coherent = compared.groupBy("node").agg(F.avg(alike.cast("double")).alias("part")).where(F.col("part") >= COHERENT).select("node")
     return compared.where(alike & (F.col("head") != F.col("digest"))).join(keep(coherent, "coherent"), "node", "left_semi").select("head", "digest").distinct()
 
 
-def near_links(docs: DataFrame, classes: DataFrame, text: str, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def near_links(docs: DataFrame, classes: DataFrame, text: str, keep: Tables) -> DataFrame:
     """Edges (a, b) between classes that are linked: as many as it takes to connect them."""
+    # rows in nodes, for each class
+    times: float = TREES * CHOICES**DEPTH
     # a class's paths end in different nodes, so these rows and their children are unique as they are
     rows = classes.select("digest", "tokens").mapInArrow(paths_maker, "node bigint, digest binary")
     labels = keep(classes.select("digest", F.col("digest").alias("label")).limit(0), "labels")
@@ -374,51 +401,56 @@ def near_links(docs: DataFrame, classes: DataFrame, text: str, keep: Callable[[D
 
     def learned(cells: DataFrame) -> DataFrame:
         """The labels of all linked classes, those of ``cells`` among them."""
-        links.append(keep(linked(cells, docs, classes, text, keep), "links"))
+        links.append(keep(linked(cells, docs, classes, text, keep), "links", 1, FULL))
         return components(reduce(DataFrame.unionByName, links), "labels", keep).select(F.col("v").alias("digest"), F.col("c").alias("label"))
 
     for level in range(LEVELS + 1):
         # what hot nodes are joined to is written first, so that Spark can split these joins
-        counts = keep(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "counts")
-        rows = keep(rows.join(counts, "node"), "nodes")
+        counts = keep(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "counts", times)
+        rows = keep(rows.join(counts, "node"), "nodes", times)
         small.append(rows.where(F.col("size") <= NODE).select("node", "digest"))
         large = rows.where(F.col("size") > NODE).select("node", "digest")
-        if not large.limit(1).count():
+        if not (crowded := large.count()):
             break
+        times = crowded / keep.rows
         if level in FAMILIES:
             # nodes that most members of one family fill have no need of a head
             labelled, settled = large.withColumn("label", F.lit(None).cast("binary")), None
             if links:
-                labelled = keep(large.join(labels, "digest", "left"), "labelled")
+                labelled = keep(large.join(labels, "digest", "left"), "labelled", times)
                 settled = keep(majorities(labelled), "settled")
-            pairs = head_pairs(large.join(settled, "node", "left_anti") if links else large, classes, keep)
-            pairs = keep(pairs.join(pairs_done, ["head", "digest"], "left_anti"), "pairs")
+            pairs = head_pairs(large.join(settled, "node", "left_anti") if links else large, classes, times, keep)
+            pairs = keep(pairs.join(pairs_done, ["head", "digest"], "left_anti"), "pairs", times)
             if pairs.limit(1).count():
                 pairs_done = pairs_done.unionByName(pairs)
                 labels = learned(head_cells(pairs, classes, keep))
-                labelled = keep(large.join(labels, "digest", "left"), "labelled")
+                labelled = keep(large.join(labels, "digest", "left"), "labelled", times)
                 settled = keep(majorities(labelled), "settled")
             if settled is not None and settled.limit(1).count():
                 # of a node that a family fills only the others go on, once they are held against that family
                 rest = labelled.join(settled, "node").where(~F.coalesce(F.col("label") == F.col("family"), F.lit(False)))
-                rest = keep(rest.select("node", "digest", F.col("family").alias("label")), "rest")
-                others = keep(rest.select("label", "digest").distinct().join(others_done, ["label", "digest"], "left_anti"), "others")
+                rest = keep(rest.select("node", "digest", F.col("family").alias("label")), "rest", times)
+                others = keep(rest.select("label", "digest").distinct().join(others_done, ["label", "digest"], "left_anti"), "others", times)
                 if others.limit(1).count():
                     others_done = others_done.unionByName(others)
                     families = labels.join(others.select("label").distinct(), "label", "left_semi").select("label", "digest")
                     labels = learned(family_cells(families, others, classes, keep))
                 sizes = keep(rest.groupBy("node").agg(F.count(F.lit(1)).alias("size")), "counts")
-                rest = keep(rest.select("node", "digest").join(sizes, "node"), "nodes")
+                rest = keep(rest.select("node", "digest").join(sizes, "node"), "nodes", times)
                 small.append(rest.where(F.col("size") <= NODE).select("node", "digest"))
-                large = keep(large.join(settled.select("node"), "node", "left_anti").unionByName(rest.where(F.col("size") > NODE).select("node", "digest")), "large")
-                if not large.limit(1).count():
+                large = keep(large.join(settled.select("node"), "node", "left_anti").unionByName(rest.where(F.col("size") > NODE).select("node", "digest")), "large", times)
+                if not (crowded := large.count()):
                     break
+                times = crowded / keep.rows
         if level == LEVELS:
             whole = large
             break
-        rows = keep(large.join(classes.select("digest", "tokens"), "digest").select("node", "digest", "tokens").mapInArrow(branch_maker, "node bigint, digest binary"), "children")
-    rows = reduce(DataFrame.unionByName, small).join(classes.select("digest", "n", "low"), "digest")
-    found = keep(_in_runs(rows.join(labels, "digest", "left").select("node", "digest", "n", "low", "label"), "node", likely_groups, "group binary, head binary, digest binary").distinct(), "groups")
+        rows = keep(large.join(classes.select("digest", "tokens"), "digest").select("node", "digest", "tokens").mapInArrow(branch_maker, "node bigint, digest binary"), "children", times, WIDE)
+        times *= CHOICES
+    rows = reduce(DataFrame.unionByName, small)
+    times = rows.count() / max(1, keep.rows)
+    rows = rows.join(classes.select("digest", "n", "low"), "digest").join(labels, "digest", "left").select("node", "digest", "n", "low", "label")
+    found = keep(_in_runs(rows, "node", likely_groups, lambda df: keep.fit(df, times, WIDE), "group binary, head binary, digest binary").distinct(), "groups")
     chains = components(found.select(F.col("head").alias("a"), F.col("digest").alias("b")), "candidates", keep)
     sizes = chains.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
     long = keep(sizes.where(F.col("size") > NODE).select("c"), "long")
@@ -450,18 +482,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     t = F.col(quoted(text)).cast("string")
     rows = docs.select(F.col(quoted(doc_id)).alias("id"), F.xxhash64(t).alias("key"), t.alias("t"))
-    sketch = written(annotate(rows, "t", lambda: sketch_maker(), "n_shingles bigint, digest binary, tokens binary", ["id", "key"]), "sketch")
+    sketch = written(annotate(rows, "t", lambda: sketch_maker(), "n_shingles bigint, digest binary, tokens binary, low binary", ["id", "key"]), "sketch")
     some = sketch.where(F.col("digest").isNotNull())
-    classes = some.groupBy("digest").agg(F.min("key").alias("key"), F.min("id").alias("id"), F.min("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
-    low = F.expr(f"unhex(array_join(transform(sequence(0, {COMPARED - 1}), i -> substring(hex(tokens), 4 * i + 1, 2)), ''))")
-    classes = written(classes.withColumn("low", low), "classes")
+    classes = some.groupBy("digest").agg(F.min("key").alias("key"), F.min("id").alias("id"), F.min("n_shingles").alias("n"), *[F.first(c).alias(c) for c in ("tokens", "low")])
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    classes = Tables(written, some.count(), cores)(classes, "classes", 1, WIDE)
+    n = classes.count()
     with workspace(docs.sparkSession, "links") as keep:
-        groups = components(near_links(docs, classes, text, keep), "links")
+        groups = components(near_links(docs, classes, text, Tables(keep, n, cores)), "links")
+    stay = Tables(written, n, cores)
     # only classes with links are dealt by component, and its least id is looked up in a table of its own
-    known = written(groups.select(F.col("v").alias("digest"), "c").join(classes.select("digest", "id"), "digest"), "linked")
-    least = written(known.groupBy("c").agg(F.min("id").alias("component")), "least")
+    known = stay(groups.select(F.col("v").alias("digest"), "c").join(classes.select("digest", "id"), "digest"), "linked")
+    least = stay(known.groupBy("c").agg(F.min("id").alias("component")), "least")
     renamed = known.select("digest", "c").join(least, "c").select("digest", "component", "c")
-    of_class = written(classes.select("digest", "id").join(renamed, "digest", "left").select("digest", F.coalesce("component", "id").alias("component"), F.coalesce("c", "digest").alias("c")), "named")
+    of_class = stay(classes.select("digest", "id").join(renamed, "digest", "left").select("digest", F.coalesce("component", "id").alias("component"), F.coalesce("c", "digest").alias("c")), "named")
     # a join of two plain exchanges, so that Spark can split a class of very many copies
     out = sketch.select("id", "key", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.coalesce("component", "id")

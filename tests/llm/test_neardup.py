@@ -5,6 +5,7 @@ import pytest
 from relflow.llm import neardup
 from relflow.llm.components import components
 from relflow.llm.neardup import near_duplicates
+from relflow.sources import scratch
 
 
 def shingles(text):
@@ -157,3 +158,32 @@ def test_each_table_is_made_once(spark, monkeypatch):
     assert ran(spark, rows) == brute(rows)
     plans = [w._jdf.queryExecution().analyzed().toString() for w in made]
     assert made and not any("Join" in p or "Aggregate" in p for p in plans)
+
+
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """A session's many partitions cost a task and a file each; tables of few rows don't take them."""
+    rng = random.Random(17)
+    rows = list(enumerate(family(rng, 150, 120, 8, [f"w{i}" for i in range(2000)])))
+    for name, value in (("NODE", 6), ("BLOCK", 4)):
+        monkeypatch.setattr(neardup, name, value)
+    files = {}
+    write = scratch._written
+
+    def counted(df, path):
+        out = write(df, path)
+        files.setdefault(path.rsplit("/", 1)[1].rsplit("-", 1)[0], []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(scratch, "_written", counted)
+    few = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in few}
+    try:
+        for k, v in few.items():
+            spark.conf.set(k, v)
+        got = ran(spark, rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute(rows)
+    assert {"classes", "nodes", "children", "cells", "links", "groups", "named"} <= set(files)
+    assert max(n for name, ns in files.items() if name != "edges" for n in ns) <= spark.sparkContext.defaultParallelism
