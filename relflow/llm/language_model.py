@@ -114,7 +114,7 @@ _SHIFTS = [*range(-SIDE, 0), *range(1, SIDE + 1)]
 def squashed(net: Network, row: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Hidden values, with a column of ones, at the places ``at`` of a padded row of tokens; ``at`` rises."""
     low = int(at[0]) - SIDE
-    near = net.near[row[low : int(at[-1]) + SIDE + 1]]
+    near = net.near.take(row[low : int(at[-1]) + SIDE + 1], 0)
     h = np.ones((len(at), DIM + 1), np.float32)
     total = near[SIDE + _SHIFTS[0] : len(near) - SIDE + _SHIFTS[0], :DIM] + net.hidden
     for j, shift in enumerate(_SHIFTS[1:], 1):
@@ -144,14 +144,17 @@ def log_probs(net: Network, row: np.ndarray, at: np.ndarray) -> np.ndarray:
     h = squashed(net, row, at)
     c, w = place(row[at], len(net.classes))
     order, cuts, _ = _sorted(c, w, net)
-    h, c, w = h[order], c[order], w[order]
-    out = np.minimum((h * net.classes[c]).sum(1), MOST) - np.log(_weights(h @ net.classes.T).sum(1))
-    for k in range(len(net.classes)):
+    h, c, w = h.take(order, 0), c[order], w[order]
+    # logits of the tokens, and sums by products, which are faster than sums of short rows
+    own = np.minimum(np.einsum("ij,ij->i", h, net.words.reshape(-1, DIM + 1).take(c * net.words.shape[1] + w, 0)), MOST)
+    out = np.minimum(np.einsum("ij,ij->i", h, net.classes.take(c, 0)), MOST) + own
+    total = _weights(h @ net.classes.T) @ np.ones(len(net.classes), np.float32)
+    inner, ones = np.empty_like(total), np.ones(net.words.shape[1], np.float32)
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
         a, b = cuts[k], cuts[k + 1]
-        if a < b:
-            z = np.minimum(h[a:b] @ net.words[k].T, MOST)
-            own = z[np.arange(b - a), w[a:b]]
-            out[a:b] += own - np.log(np.exp(z, out=z).sum(1))
+        np.matmul(_weights(h[a:b] @ net.words[k].T), ones, out=inner[a:b])
+    # apart, as the product of two sums may be too large
+    out -= np.log(total) + np.log(inner)
     back = np.empty(len(out))
     back[order] = out
     return back
@@ -162,29 +165,36 @@ def step(net: Network, row: np.ndarray, at: np.ndarray, weight: np.ndarray | Non
     h = squashed(net, row, at)
     c, w = place(row[at], len(net.classes))
     order, cuts, runs = _sorted(c, w, net)
-    h, c, w = h[order], c[order], w[order]
+    h, c, w = h.take(order, 0), c[order], w[order]
     share = None if weight is None else weight[order].astype(np.float32)
     heavy = h if share is None else h * share[:, None]
     scale = np.float32(1 / np.sqrt(len(at) if share is None else share.sum()))
-    # with e the unnormalised probabilities, the gradient of a logit is e / sum(e), less one at the target
+    # with e the unnormalised probabilities, the gradient of a logit is e / sum(e), less one at the target;
+    # a column of ones gives the sums of e with the product that is needed anyway
+    one = 1 if share is None else share[:, None]
     e = _weights(h @ net.classes.T)
-    own = ((1 if share is None else share) / e.sum(1))[:, None]
+    both = e @ np.concatenate([net.classes, np.ones((len(net.classes), 1), np.float32)], 1)
+    own = one / both[:, DIM + 1 :]
     some = np.flatnonzero(np.diff(cuts))
     grad = e.T @ (h * own)
     grad[some] -= np.add.reduceat(heavy, cuts[some], axis=0)
-    back = (e @ net.classes) * own
+    back = both[:, : DIM + 1] * own
     inner = np.zeros_like(net.words)
-    # a column of ones gives the sums of e with the same product
     summing = np.concatenate([net.words, np.ones((*net.words.shape[:2], 1), np.float32)], 2)
-    for k in some:
-        a, b = cuts[k], cuts[k + 1]
-        e = _weights(h[a:b] @ net.words[k].T)
-        both = e @ summing[k]
-        own = (1 if share is None else share[a:b, None]) / both[:, DIM + 1 :]
-        back[a:b] += both[:, : DIM + 1] * own
-        np.matmul(e.T, h[a:b] * own, out=inner[k])
-    taken = net.classes[c] + net.words[c, w]
-    back -= taken if share is None else taken * share[:, None]
+    e = np.empty((len(h), net.words.shape[1]), np.float32)
+    spans = [(k, slice(*cuts[k : k + 2].tolist())) for k in some.tolist()]
+    for k, span in spans:
+        np.matmul(h[span], net.words[k].T, out=e[span])
+    _weights(e)
+    for k, span in spans:
+        np.matmul(e[span], summing[k], out=both[span])
+    own = one / both[:, DIM + 1 :]
+    back += both[:, : DIM + 1] * own
+    scaled = h * own
+    for k, span in spans:
+        np.matmul(e[span].T, scaled[span], out=inner[k])
+    taken = net.classes.take(c, 0) + net.words.reshape(-1, DIM + 1).take(c * net.words.shape[1] + w, 0)
+    back -= taken if share is None else taken * one
     inner[c[runs], w[runs]] -= np.add.reduceat(heavy, runs, axis=0)
     net.words -= RATE * np.clip(inner * scale, -CLIP, CLIP)
     net.classes -= RATE * np.clip(grad * scale, -CLIP, CLIP)
@@ -193,15 +203,26 @@ def step(net: Network, row: np.ndarray, at: np.ndarray, weight: np.ndarray | Non
     # each token of the row learns from the targets around it
     low = int(at[0]) - SIDE
     tokens = row[low : int(at[-1]) + SIDE + 1]
-    whole = np.zeros((len(tokens) - 2 * SIDE, DIM), np.float32)
+    whole = np.zeros((len(tokens) - 2 * SIDE, DIM))
     whole[at[order] - at[0]] = back
-    spread = np.zeros((len(tokens), 2 * SIDE * DIM), np.float32)
+    found, number = numbers_of(tokens, net.size)
+    # one sum for each token and dimension, by counting: sums of runs of rows take one call a run and column
+    cell = number[:, None] * DIM + np.arange(DIM)
+    spread = np.empty((len(found), 2 * SIDE * DIM), np.float32)
     for j, shift in enumerate(_SHIFTS):
-        spread[SIDE + shift : SIDE + shift + len(whole), j * DIM : (j + 1) * DIM] = whole
-    order = np.argsort(tokens.astype(np.uint16) if net.size <= 1 << 16 else tokens, kind="stable")
-    tokens = tokens[order]
-    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-    net.near[tokens[first]] -= RATE * np.clip(np.add.reduceat(spread[order], first, axis=0) * scale, -CLIP, CLIP)
+        near = cell[SIDE + shift : SIDE + shift + len(whole)]
+        spread[:, j * DIM : (j + 1) * DIM] = np.bincount(near.ravel(), whole.ravel(), len(found) * DIM).reshape(-1, DIM)
+    net.near[found] -= RATE * np.clip(spread * scale, -CLIP, CLIP)
+
+
+def numbers_of(tokens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different tokens, of ``size`` that there are, and each token's number among them."""
+    order = np.argsort(tokens.astype(np.uint16) if size <= 1 << 16 else tokens, kind="stable")
+    inside = tokens[order]
+    new = np.concatenate([[True], inside[1:] != inside[:-1]])
+    number = np.empty(len(tokens), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return inside[new], number
 
 
 # words and spelling ---------------------------------------------------------

@@ -189,3 +189,27 @@ def test_texts_are_scored_in_large_batches(monkeypatch):
     large, few = run([text])["log_prob"][0], sum(calls)
     monkeypatch.setattr(language_model, "SCORED", 1_000)
     assert few == 1 and np.isclose(large, run([text])["log_prob"][0], rtol=1e-6)
+
+
+def test_a_step_sums_few_runs(monkeypatch):
+    """A sum over runs of rows takes a call for each run and column, which was a quarter of a step: what tokens learn is counted instead."""
+    calls = []
+
+    class Add:
+        @staticmethod
+        def reduceat(x, at, axis):
+            calls.append(len(at) * x.shape[1])
+            return np.add.reduceat(x, at, axis=axis)
+
+    class Counted:
+        add = Add
+
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+    size = 2000
+    net, (row, at) = Network.start(size), padded(np.arange(size - 1), np.array([0, size - 1]), size - 1)
+    before = net.near.copy()
+    monkeypatch.setattr(language_model, "np", Counted())
+    step(net, row, at)
+    assert (net.near[:-1] != before[:-1]).any(1).all() and sum(calls) < size * 2 * SIDE * DIM / 2
